@@ -2,12 +2,36 @@
 
 from __future__ import annotations
 
+import uuid
+
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lakeloom.llm.ann import ann_cosine
+from lakeloom.llm.bpe import encode_decode
+from lakeloom.llm.langid import fit_languages, held_out, identify
+from lakeloom.llm.packing import pack_documents
 from lakeloom.llm.simhash import simhash_components
 from lakeloom.llm.substring_dedup import substring_dedup
-from lakeloom.session import table
+from lakeloom.llm.topk import exact_topk
+from lakeloom.llm.warc import read_archives, write_archives
+from lakeloom.session import shared_dir, table
+
+
+def op1_packing(spark: SparkSession, sf_dir: str, tokenizer: str | None = None) -> DataFrame:
+    done = pack_documents(table(spark, sf_dir, "documents"), tokenizer or public_tokenizers.path("byte_bpe_50k.json"))
+    return done.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
+
+
+def op3_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "embeddings")
+    return exact_topk(rows, rows.where(F.col("vec_id") % 50 == 0), k=5)
+
+
+def op4_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "embeddings")
+    return ann_cosine(rows, rows.where(F.col("vec_id") % 50 == 0), k=5)
 
 
 def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -19,6 +43,22 @@ def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_components(table(spark, sf_dir, "documents"), width=3, radius=2)
 
 
-QUERIES = {"op5_substring_dedup": op5_substring_dedup, "op6_simhash": op6_simhash}
+def op7_bpe(spark: SparkSession, sf_dir: str, tokenizer: str | None = None) -> DataFrame:
+    done = encode_decode(table(spark, sf_dir, "documents"), tokenizer or public_tokenizers.path("word_bpe_49k.json"))
+    return done.select("doc_id", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
+
+
+def op9_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = fit_languages(docs.where(~held_out()))
+    return identify(docs, model).select("doc_id", held_out().alias("held_out"), "lang_pred", "score")
+
+
+def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = f"{shared_dir(spark)}/warc-{uuid.uuid4().hex}"
+    write_archives(table(spark, sf_dir, "pages"), folder)
+    return read_archives(spark, folder).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
 
+QUERIES = {f.__name__: f for f in (op1_packing, op3_exact_topk, op4_ann, op5_substring_dedup, op6_simhash, op7_bpe, op9_langid, op10_warc)}
 ORACLES: dict[str, str] = {}
