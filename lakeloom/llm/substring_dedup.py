@@ -27,6 +27,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from lakeloom.llm import words
 from lakeloom.session import n_partitions
@@ -208,23 +209,24 @@ def _mark(n: int, min_words: int, spans: list[bytes] | None) -> np.ndarray:
     return np.cumsum(edge[:n]) == 0
 
 
-def substring_dedup(df: DataFrame, min_words: int = 20, id_col: str = "doc_id", text_col: str = "text", k: int | None = None, keep_layout: bool = True) -> DataFrame:
+def substring_dedup(df: DataFrame, min_words: int = 20, id_col: str = "doc_id", text_col: str = "text", k: int | None = None, keep_layout: bool = True, carry: bool = False) -> DataFrame:
     """Remove repeated passages of ``min_words`` words or more.
 
     Returns id_col, ``text`` (kept words joined by one space; with
     keep_layout, the text itself where nothing goes; null stays null),
-    ``n_words`` and ``n_removed``.
+    ``n_words`` and ``n_removed``; with carry, the columns of df with the new
+    text in place of the old.
 
     Defined cases: a null text has no words; an empty one none either; a null
     id comes before all others; rows with the same id and the same text are
     one document, and each gets its result; rows with the same id but other
     texts are different documents, ordered by a hash of the text; an empty
-    table gives an empty result; other columns are not looked at.
+    table gives an empty result; other columns are not looked at, or passed on.
     """
     if k is None:
         k = max(1, min(8, min_words // 2))
     parts = n_partitions(df.sparkSession)
-    docs = df.select(F.coalesce(F.col(id_col).cast("long"), F.lit(_NULL)).alias("doc"), F.coalesce(F.xxhash64(F.col(text_col)), F.lit(0)).alias("code"), F.col(text_col).cast("binary").alias("body"))
+    docs = df.select(F.coalesce(F.col(id_col).cast("long"), F.lit(_NULL)).alias("doc"), F.coalesce(F.xxhash64(F.col(text_col)), F.lit(0)).alias("code"), F.col(text_col).cast("binary").alias("body"), *([F.struct(*[F.col(f"`{c}`") for c in df.columns if c != text_col] or [F.lit(0)]).alias("rest")] if carry else []))
     dealt = docs.repartition(parts, "doc", "code")
     sent = dealt.mapInArrow(_seed(min_words, k, parts), _SENT)
     found = sent.repartition(parts, "bucket").mapInArrow(_extend, _SENT)
@@ -233,7 +235,7 @@ def substring_dedup(df: DataFrame, min_words: int = 20, id_col: str = "doc_id",
         .groupBy("doc", "code")
         .agg(F.collect_list("payload").alias("spans"))
     )
-    joined = dealt.join(spans.hint("shuffle_hash"), ["doc", "code"], "left").select("doc", "body", "spans")
+    joined = dealt.join(spans.hint("shuffle_hash"), ["doc", "code"], "left").select("doc", "body", "spans", *(["rest"] if carry else []))
 
     def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -249,9 +251,13 @@ def substring_dedup(df: DataFrame, min_words: int = 20, id_col: str = "doc_id",
                 texts.append(b" ".join([w for w, keep in zip(own, stay.tolist()) if keep]))
                 n_removed.append(int(len(own) - stay.sum()))
             yield pa.RecordBatch.from_arrays(
-                [b.column("doc"), pa.array(texts, pa.binary()), pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64())],
-                names=["doc", "body", "n_words", "n_removed"],
+                [b.column("doc"), pa.array(texts, pa.binary()), pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()), *([b.column("rest")] if carry else [])],
+                names=["doc", "body", "n_words", "n_removed", *(["rest"] if carry else [])],
             )
 
-    done = joined.mapInArrow(finish, "doc long, body binary, n_words long, n_removed long")
+    kinds = T.StructType().add("doc", "long").add("body", "binary").add("n_words", "long").add("n_removed", "long")
+    if carry:
+        done = joined.mapInArrow(finish, kinds.add(joined.schema["rest"]))
+        return done.select(*[F.col("body").cast("string").alias(c) if c == text_col else F.col(f"rest.`{c}`").alias(c) for c in df.columns])
+    done = joined.mapInArrow(finish, kinds)
     return done.select(F.when(F.col("doc") != _NULL, F.col("doc")).alias(id_col), F.col("body").cast("string").alias("text"), "n_words", "n_removed")
