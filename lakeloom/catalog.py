@@ -2,5 +2,8 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from lakeloom.plans import classify, documents, graph, recommend, timeseries
+
+_ALL = (recommend, graph, timeseries, documents, classify)
+QUERIES: dict = {name: f for m in _ALL for name, f in m.QUERIES.items()}
+ORACLES: dict = {name: sql for m in _ALL for name, sql in m.ORACLES.items()}

@@ -27,6 +27,7 @@ def word_shingles(words: Column, width: int) -> Column:
 
 def char_shingles(text: Column, width: int) -> Column:
     """Distinct runs of ``width`` characters; a shorter text is one run."""
-    n = F.length(text)
+    chars = F.split(text, "")  # positions of a string are found by a scan, those of an array are not
+    n = F.size(chars)
     starts = F.sequence(F.lit(1), F.greatest(n - (width - 1), F.lit(1)))
-    return F.when(F.coalesce(n, F.lit(0)) == 0, F.array().cast("array<string>")).otherwise(F.array_distinct(F.transform(starts, lambda i: F.substr(text, i, F.lit(width)))))
+    return F.when(F.coalesce(F.length(text), F.lit(0)) == 0, F.array().cast("array<string>")).otherwise(F.array_distinct(F.transform(starts, lambda i: F.array_join(F.slice(chars, i, width), ""))))
