@@ -18,16 +18,25 @@ def tokens(col: Column | str) -> Column:
     return F.when(plain == "", F.array().cast("array<string>")).otherwise(F.split(plain, " "))
 
 
+def bound(value: Column, body) -> Column:
+    """body(value) with ``value`` computed once per row: inside a lambda the optimiser would inline it per element."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def _runs(parts: Column, width: int, glue: str) -> Column:
+    starts = F.sequence(F.lit(1), F.greatest(F.size(parts) - (width - 1), F.lit(1)))
+    return F.array_distinct(F.transform(starts, lambda i: F.array_join(F.slice(parts, i, width), glue)))
+
+
 def word_shingles(words: Column, width: int) -> Column:
     """Distinct runs of ``width`` words; a shorter text is one run."""
-    n = F.size(words)
-    starts = F.sequence(F.lit(1), F.greatest(n - (width - 1), F.lit(1)))
-    return F.when(n == 0, F.array().cast("array<string>")).otherwise(F.array_distinct(F.transform(starts, lambda i: F.array_join(F.slice(words, i, width), " "))))
+    none = F.array().cast("array<string>")
+    return bound(words, lambda w: F.when(F.size(w) == 0, none).otherwise(_runs(w, width, " ")))
 
 
 def char_shingles(text: Column, width: int) -> Column:
     """Distinct runs of ``width`` characters; a shorter text is one run."""
-    chars = F.split(text, "")  # positions of a string are found by a scan, those of an array are not
-    n = F.size(chars)
-    starts = F.sequence(F.lit(1), F.greatest(n - (width - 1), F.lit(1)))
-    return F.when(F.coalesce(F.length(text), F.lit(0)) == 0, F.array().cast("array<string>")).otherwise(F.array_distinct(F.transform(starts, lambda i: F.array_join(F.slice(chars, i, width), ""))))
+    none = F.array().cast("array<string>")
+    # positions of a string are found by a scan, those of an array are not
+    chars = F.when(F.coalesce(F.length(text), F.lit(0)) == 0, none).otherwise(F.split(text, ""))
+    return bound(chars, lambda c: F.when(F.size(c) == 0, none).otherwise(_runs(c, width, "")))
