@@ -25,7 +25,7 @@ def line_tokens(line: Column) -> Column:
     """A line's tokens, those with digits as a wildcard."""
     plain = F.trim(F.translate(line, "\t\r", "  "))
     masked = F.when(plain.rlike("[0-9]"), F.regexp_replace(plain, "[^ ]*[0-9][^ ]*", "<*>")).otherwise(plain)
-    return F.split(masked, " +")
+    return F.array_remove(F.split(masked, " "), "")  # one character: no regular expression
 
 
 def line_dedup(df: DataFrame, min_docs: int = 3, min_tokens: int = 4, lead: int = 3, similar: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -51,7 +51,8 @@ def line_dedup(df: DataFrame, min_docs: int = 3, min_tokens: int = 4, lead: int
         F.col(text_col).alias("body"),
         F.struct(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(df.columns) if c != text_col] or [F.lit(0).alias("c")]).alias("rest"),
     )
-    lines = docs.select("doc", "code", F.posexplode(F.split("body", "\n")).alias("at", "line")).withColumn("tokens", line_tokens(F.col("line"))).where(F.size("tokens") >= min_tokens)
+    # tokens are made before the explode: after it, filter and hashes would each make them anew
+    lines = docs.select("doc", "code", F.posexplode(F.transform(F.split("body", "\n"), line_tokens)).alias("at", "tokens")).where(F.size("tokens") >= min_tokens)
     leaf = F.xxhash64(F.size("tokens"), *[F.get("tokens", F.lit(i)) for i in range(lead)])
     seen = cut(lines.select("doc", "code", "at", leaf.alias("leaf"), F.xxhash64("tokens").alias("seq")).groupBy("doc", "code", "leaf", "seq").agg(F.min("at").alias("at")))
 
@@ -82,8 +83,8 @@ def line_dedup(df: DataFrame, min_docs: int = 3, min_tokens: int = 4, lead: int
 
     done = dealt.join(gone.hint("shuffle_hash"), ["doc", "code"], "left")
     every = F.split("body", "\n")
-    kept = F.filter(every, lambda x: ~((F.size(line_tokens(x)) >= min_tokens) & F.array_contains(F.col("gone"), F.xxhash64(line_tokens(x)))))
-    # A line's hash is the same whatever the document, so lines are judged by it.
+    # A line's hash is the same whatever the document; that of a short line is never in the list.
+    kept = F.filter(every, lambda x: ~F.array_contains(F.col("gone"), F.xxhash64(line_tokens(x))))
     done = done.withColumn("kept", F.when(F.col("gone").isNotNull(), kept))
     text = F.when(F.col("kept").isNull(), F.col("body")).otherwise(F.array_join("kept", "\n"))
     n_lines = F.coalesce(F.size(F.split("body", "\n")), F.lit(0)).cast("long")
