@@ -25,10 +25,10 @@ from pyspark.sql import functions as F
 CACHE = 500_000
 
 
-def shrink(cache: dict) -> None:
+def shrink(cache: dict, most: int = CACHE) -> None:
     """Drop the latest quarter of a full cache."""
-    if len(cache) > CACHE:
-        while len(cache) > CACHE * 3 // 4:
+    if len(cache) > most:
+        while len(cache) > most * 3 // 4:
             cache.popitem()
 
 
@@ -254,6 +254,23 @@ def encode_decode(df: DataFrame, tokenizer: str, id_col: str = "doc_id", text_co
     return out.select(F.col("doc").alias(id_col), "ids", F.col("decoded").cast("string").alias("decoded"))
 
 
+class _Loose(Exception):
+    """A piece between spaces that is no chunk of its own."""
+
+
+class _Chunks(dict):
+    """Ids of the chunks met so far; a new one is encoded when it is asked for."""
+
+    def __init__(self, codec: ByteCodec, lead: str) -> None:
+        self.codec, self.lead = codec, lead
+
+    def __missing__(self, chunk: bytes) -> bytes:
+        if self.codec.loose(chunk) and self.lead:
+            raise _Loose
+        got = self[chunk] = self.codec.encode(chunk, self.lead)
+        return got
+
+
 class ByteCodec:
     """Ids of a byte-level tokenizer file, chunk by chunk from a cache.
 
@@ -266,8 +283,7 @@ class ByteCodec:
 
         self.own = Tokenizer.from_file(path)
         self.quick = self._ranks(path)
-        self.head: dict[bytes, bytes] = {}
-        self.tail: dict[bytes, bytes] = {}
+        self.head, self.tail = _Chunks(self, ""), _Chunks(self, " ")
 
     @staticmethod
     def _ranks(path: str):
@@ -286,55 +302,48 @@ class ByteCodec:
         return tiktoken.Encoding("file", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
 
     @staticmethod
-    def _loose(piece: bytes) -> bool:
+    def loose(piece: bytes) -> bool:
         """Whether a piece between spaces is empty or has white space at an end."""
         if not piece:
             return True
+        if 0x20 < piece[0] < 0x7F and 0x20 < piece[-1] < 0x7F:
+            return False
         text = piece.decode("utf-8", "replace")
-        return text[0].isspace() or text[-1].isspace() or text[0] == "᠎" or text[-1] == "᠎"
-
-    def chunks(self, body: bytes, known: dict[bytes, bytes]) -> list[bytes]:
-        pieces = body.split(b" ")
-        loose = {p for p in set(pieces) if p not in known and self._loose(p)}
-        if not loose:
-            return pieces
-        out, last_loose = [], False
+        return text[0].isspace() or text[-1].isspace() or text[0] == "\u180e" or text[-1] == "\u180e"
+
+    def encode(self, chunk: bytes, lead: str = "") -> bytes:
+        """Ids of a chunk. The rank library gives the same ids for Latin letters, and sooner."""
+        text = lead + chunk.decode("utf-8", "replace")
+        if self.quick and b"<|" not in chunk and (not chunk or max(chunk) < 0xCA):
+            return array("I", self.quick(text)).tobytes()
+        return array("I", self.own.encode(text, add_special_tokens=False).ids).tobytes()
+
+    def _joined(self, pieces: list[bytes]) -> list[bytes]:
+        """Chunks of pieces among which some are loose: those stay with their neighbours."""
+        out, before = [], False
         for n, p in enumerate(pieces):
-            is_loose = p in loose
-            if n and (is_loose or last_loose):
+            now = self.loose(p)
+            if n and (now or before):
                 out[-1] += b" " + p
             else:
                 out.append(p)
-            last_loose = is_loose
-        return out
-
-    def _encode(self, chunks: list[bytes], lead: str = "") -> dict[bytes, bytes]:
-        """Ids of chunks. The rank library gives the same ids for chunks of Latin letters, and sooner."""
-        out, rest = {}, []
-        for c in chunks:
-            if self.quick and b"<|" not in c and (not c or max(c) < 0xCA):
-                out[c] = array("I", self.quick(lead + c.decode())).tobytes()
-            else:
-                rest.append(c)
-        for s in range(0, len(rest), 20_000):
-            part = rest[s : s + 20_000]
-            got = self.own.encode_batch_fast([lead + c.decode("utf-8", "replace") for c in part], add_special_tokens=False)
-            out.update((c, array("I", e.ids).tobytes()) for c, e in zip(part, got))
+            before = now
         return out
 
     def run(self, bodies: list[bytes]) -> Iterator[bytes]:
         """Per text: ids as little-endian unsigned 32-bit integers."""
-        shrink(self.tail)
-        if len(self.head) > CACHE // 8:
-            self.head = {}
-        own = [self.chunks(b, self.tail) if b else [b""] for b in bodies]
-        heads = [c for c in {c[0] for c in own} if c not in self.head]
-        tails = [c for c in set().union(*(c[1:] for c in own)) if c not in self.tail]
-        self.head.update(self._encode(heads))
-        self.tail.update(self._encode(tails, " "))
-        tail = self.tail.__getitem__
-        for chunks in own:
-            yield self.head[chunks[0]] + b"".join(map(tail, chunks[1:]))
+        for body in bodies:
+            shrink(self.tail, 2 * CACHE)
+            if len(self.head) > CACHE // 8:
+                self.head.clear()
+            pieces = body.split(b" ")
+            try:
+                if self.loose(pieces[0]) and len(pieces) > 1:
+                    raise _Loose
+                yield self.head[pieces[0]] + b"".join(map(self.tail.__getitem__, pieces[1:]))
+            except _Loose:
+                first, *rest = self._joined(pieces)
+                yield self.head[first] + b"".join([self.tail[c] if c in self.tail or not self.loose(c) else self.encode(c, " ") for c in rest])
 
 
 _byte_codecs: dict[str, ByteCodec] = {}
