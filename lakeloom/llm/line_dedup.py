@@ -28,11 +28,11 @@ def line_tokens(line: Column) -> Column:
     return F.array_remove(F.split(masked, " "), "")  # one character: no regular expression
 
 
-def line_dedup(df: DataFrame, min_docs: int = 3, min_tokens: int = 4, lead: int = 3, similar: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def line_dedup(df: DataFrame, min_docs: int = 3, min_tokens: int = 4, lead: int = 3, similar: float = 0.8, carry: bool = False, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Drop lines whose template recurs in ``min_docs`` documents or more, but from the first of them.
 
-    Returns the columns of df with a new ``text_col``, and ``_n_lines`` and
-    ``_n_dropped``. lead: leading tokens that the tree looks at. similar: share
+    Returns id_col, the new ``text_col``, ``_n_lines`` and ``_n_dropped``; with
+    carry, all columns of df and those two. lead: leading tokens that the tree looks at. similar: share
     of a line's tokens that must agree with its leaf's template. Lines of fewer
     than ``min_tokens`` tokens always stay.
 
@@ -49,7 +49,7 @@ def line_dedup(df: DataFrame, min_docs: int = 3, min_tokens: int = 4, lead: int
         F.coalesce(F.col(id_col).cast("long"), F.lit(least)).alias("doc"),
         F.coalesce(F.xxhash64(F.col(text_col)), F.lit(0)).alias("code"),
         F.col(text_col).alias("body"),
-        F.struct(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(df.columns) if c != text_col] or [F.lit(0).alias("c")]).alias("rest"),
+        *([F.struct(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(df.columns) if c != text_col]).alias("rest")] if carry else []),
     )
     # tokens are made before the explode: after it, filter and hashes would each make them anew
     lines = docs.select("doc", "code", F.posexplode(F.transform(F.split("body", "\n"), line_tokens)).alias("at", "tokens")).where(F.size("tokens") >= min_tokens)
@@ -58,14 +58,15 @@ def line_dedup(df: DataFrame, min_docs: int = 3, min_tokens: int = 4, lead: int
 
     leaves = seen.groupBy("leaf").agg(F.count(F.lit(1)).alias("n"), (F.min("seq") != F.max("seq")).alias("mixed")).where(F.col("n") >= min_docs).drop("n")
     common = seen.join(leaves, "leaf")
-    dealt = docs.repartition(parts, "doc", "code")
+    dealt = docs.repartition(parts, "doc", "code")  # without carry both uses share one exchange: texts move once
 
     # One line of each sequence of a mixed leaf gives the tokens.
     shown = common.where("mixed").groupBy("leaf", "seq").agg(F.count(F.lit(1)).alias("weight"), F.min(F.struct("doc", "code", "at")).alias("where"))
     wanted = shown.select(F.col("where.doc").alias("doc"), F.col("where.code").alias("code"), F.col("where.at").alias("at"), "leaf", "seq", "weight")
     wanted = wanted.groupBy("doc", "code").agg(F.collect_list(F.struct("at", "leaf", "seq", "weight")).alias("wanted"))
-    fetched = dealt.select("doc", "code", "body", "rest").join(wanted.hint("shuffle_hash"), ["doc", "code"]).dropDuplicates(["doc", "code"])
+    fetched = dealt.join(wanted.hint("shuffle_hash"), ["doc", "code"])
     fetched = fetched.select(F.split("body", "\n").alias("lines"), F.explode("wanted").alias("w")).select("w.leaf", "w.seq", "w.weight", line_tokens(F.get("lines", F.col("w.at"))).alias("tokens"))
+    fetched = fetched.dropDuplicates(["leaf", "seq"])  # rows that repeat
     tokens = fetched.select("leaf", "seq", "weight", F.posexplode("tokens").alias("position", "token"))
     votes = tokens.groupBy("leaf", "position", "token").agg(F.sum("weight").alias("weight"))
     template = votes.groupBy("leaf", "position").agg(F.max(F.struct("weight", "token")).alias("top")).select("leaf", "position", F.col("top.token").alias("common_token"))
@@ -89,7 +90,10 @@ def line_dedup(df: DataFrame, min_docs: int = 3, min_tokens: int = 4, lead: int
     text = F.when(F.col("kept").isNull(), F.col("body")).otherwise(F.array_join("kept", "\n"))
     n_lines = F.coalesce(F.size(F.split("body", "\n")), F.lit(0)).cast("long")
     n_lines = F.when(F.col("body").isNull(), F.lit(0).cast("long")).otherwise(n_lines)
-    columns = [text.alias(c) if c == text_col else F.col(f"rest.c{i}").alias(c) for i, c in enumerate(df.columns)]
+    if carry:
+        columns = [text.alias(c) if c == text_col else F.col(f"rest.c{i}").alias(c) for i, c in enumerate(df.columns)]
+    else:
+        columns = [F.when(F.col("doc") != least, F.col("doc")).alias(id_col), text.alias(text_col)]
     return done.select(*columns, n_lines.alias("_n_lines"), F.when(F.col("kept").isNull(), F.lit(0)).otherwise(n_lines - F.size("kept")).cast("long").alias("_n_dropped"))
 
 

@@ -199,7 +199,7 @@ def test_line_dedup(spark, docs, none):
     rows += [(10 + i, f"page {i * 37} of 99 shown here\nunlike {' '.join(random.Random(i).sample(WORDS, 9))}") for i in range(4)]
     rows += [(20 + i, f"posted on the site by user {n} about one thing only today") for i, n in enumerate(["ann", "bob", "cy", "dee"])]
     df = spark.createDataFrame([(i, t, "c", "d") for i, t in rows], "doc_id int, text string, body string, gone string").repartition(3)
-    out = line_dedup(df)
+    out = line_dedup(df, carry=True)
     assert out.columns == [*df.columns, "_n_lines", "_n_dropped"]
     got = {r.doc_id: r for r in out.collect()}
     assert got[None].text == "menu home about contact"  # the first of them stays
@@ -207,7 +207,7 @@ def test_line_dedup(spark, docs, none):
     assert got[4].text is None and got[4]._n_lines == 0 and got[5].text == "" and got[5]._n_lines == 1
     assert got[10].text.startswith("page 0") and all(got[10 + i].text.startswith("unlike") for i in (1, 2, 3))
     assert got[20].text and all(got[20 + i].text == "" for i in (1, 2, 3))
-    assert out.count() == len(rows) and line_dedup(docs.limit(0)).count() == 0
+    assert out.count() == len(rows) and line_dedup(docs.limit(0)).count() == 0 and line_dedup(df).columns[:2] == ["doc_id", "text"]
 
 
 def test_codecs_equal_the_library():
