@@ -40,7 +40,7 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Recurring lines go from all documents but the first; documents with nothing left go."""
-    done = line_dedup(docs)
+    done = line_dedup(docs, carry=True)
     return _same_columns(done.where((F.col("_n_dropped") == 0) | (F.trim("text") != "")), docs)
 
 
