@@ -330,11 +330,11 @@ class ByteCodec:
             before = now
         return out
 
-    def run(self, bodies: list[bytes]) -> Iterator[bytes]:
-        """Per text: ids as little-endian unsigned 32-bit integers."""
+    def run(self, bodies: list[bytes], most: int = 2 * CACHE) -> Iterator[bytes]:
+        """Per text: ids as little-endian unsigned 32-bit integers. most: chunks that the cache keeps between texts."""
         for body in bodies:
-            shrink(self.tail, 2 * CACHE)
-            if len(self.head) > CACHE // 8:
+            shrink(self.tail, most)
+            if len(self.head) > most // 16:
                 self.head.clear()
             pieces = body.split(b" ")
             try:

@@ -262,6 +262,22 @@ def test_packing(docs, none):
     assert packing.pack_documents(none, BYTE).count() == 0
 
 
+def test_packing_with_a_small_cache_gives_the_same_pieces(docs):
+    columns = ["doc_id", "start", "length", "sequence_id", "offset", "ids"]
+    few, many = (sorted(packing.pack_documents(docs, BYTE, size=128, cache=c).select(*columns).collect(), key=repr) for c in (20, 1_000_000))
+    assert few == many
+
+
+def test_languages_do_not_depend_on_blocks(docs):
+    known = docs.withColumn("lang", F.when(F.col("doc_id") % 2 == 0, "aa").otherwise("bb"))
+    model = langid.fit_languages(known)
+    rows = [r.text for r in docs.select("text").collect()]
+    whole = langid.mixtures(rows, model)
+    single = [langid.mixtures([t], model)[0] for t in rows]
+    assert [[n for n, _ in m] for m in whole] == [[n for n, _ in m] for m in single]
+    assert all(abs(x - y) < 1e-9 for m, k in zip(whole, single) for (_, x), (_, y) in zip(m, k))
+
+
 def test_language_mixtures(spark, none):
     say = {"en": "the weather is nice and the people are walking in the park with their children", "de": "das wetter ist schön und die leute gehen mit ihren kindern durch den großen park", "fr": "le temps est beau et les gens se promènent dans le parc avec leurs enfants"}
     rnd = random.Random(1)
