@@ -21,6 +21,8 @@ from pyspark.sql import functions as F
 BUCKETS = 1 << 16
 #: Languages of one document that are weighed against each other.
 CONTENDERS = 6
+#: Characters of text whose mixtures are estimated at once: memory is some 150 bytes for each.
+BLOCK = 256 << 10
 _LETTER = re.compile(r"[^\W\d_]")
 #: ASCII other than letters counts as a space; capitals as small letters.
 _FOLD = np.array([c | 0x20 if 0x41 <= c <= 0x5A else c if c >= 0x80 or 0x61 <= c <= 0x7A else 0x20 for c in range(256)], np.uint8)
@@ -169,7 +171,7 @@ def identify(df: DataFrame, model: LanguageModel, id_col: str = "doc_id", text_c
             at = 0
             while at < len(texts):
                 end, size = at, 0
-                while end < len(texts) and size < 1 << 20:
+                while end < len(texts) and size < BLOCK:
                     size += len(texts[end] or "") + 64
                     end += 1
                 found = mixtures(texts[at:end], shared.value)
