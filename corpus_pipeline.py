@@ -57,7 +57,7 @@ def passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Sequences of 2048 tokens at most."""
-    return pack_documents(docs, public_tokenizers.path("byte_bpe_50k.json"))
+    return pack_documents(docs, public_tokenizers.path("byte_bpe_50k.json"), cache=200_000)
 
 
 STAGES = [("language ID", language), ("line dedup", lines), ("SimHash near-dedup", near_copies), ("substring dedup", passages), ("packing", packing)]
