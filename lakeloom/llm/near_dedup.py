@@ -4,14 +4,18 @@ Fingerprints of texts at a Jaccard similarity of 0.8 differ in ten of 64 bits
 on average, too many to spread them over shards by their bits. So the shards
 are those of a few min-hashes of the shingles: texts of similarity s share one
 of m shards with a probability of 1 - (1 - s)**m. In a shard a BK-tree over the
-SimHash fingerprints gives the candidates within a generous radius, and a sketch
-of the shingle set decides. Texts with equal shingle sets are one entry from
-the start, so copies cost one row each.
+SimHash fingerprints gives the candidates within a generous radius. A sketch of
+the shingle sets decides where it holds them whole or leaves no doubt; the other
+pairs, unless sure links join them anyhow, are decided on their whole sets.
+Texts with equal shingle sets are one entry from the start, so copies cost one
+row each.
 """
 
 from __future__ import annotations
 
 import hashlib
+import math
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -28,6 +32,10 @@ from lakeloom.session import cut, n_partitions
 SHARDS = 5
 #: Least hashes of a shingle set that are kept. Sets up to this size are compared exactly.
 SKETCH = 512
+#: A sketch decides alone if it would err with a probability of exp(-DOUBT) at most (Chernoff's bound).
+DOUBT = 20
+#: Rows of whole shingle sets in one Arrow batch.
+SETS = 256
 #: Members of one tree; larger shards are dealt to pairs of blocks.
 BLOCK = 4096
 _SEEDS = words.mix(np.arange(1, SHARDS + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
@@ -41,37 +49,52 @@ def shingle_set(body: bytes, width: int) -> np.ndarray:
     return np.unique(words.mix(words.fold(value, min(width, len(value))) + np.uint64(min(width, len(value)))))
 
 
-def sketch_similarity(a: np.ndarray, b: np.ndarray) -> float:
+def sketch_similarity(a: np.ndarray, b: np.ndarray, whole: bool) -> float:
     """Jaccard similarity of two sets by their least hashes; exact if both are whole."""
     both = np.union1d(a, b)
-    if len(a) >= SKETCH or len(b) >= SKETCH:
+    if not whole:
         both = both[:SKETCH]
     shared = np.intersect1d(a, b, assume_unique=True)
     return float(np.searchsorted(shared, both[-1], side="right")) / len(both)
 
 
+def similar(a: np.ndarray, b: np.ndarray, sizes: tuple[int, int], similarity: float) -> bool | None:
+    """Whether two sets, given by their sketches and sizes, reach the similarity; None if the sketches cannot tell."""
+    if min(sizes) / max(sizes) < similarity:  # no two sets of these sizes do
+        return False
+    whole = max(sizes) <= SKETCH
+    s = sketch_similarity(a, b, whole)
+    if not whole:
+        pairs = [(x, y) for x, y in ((s, similarity), (1 - s, 1 - similarity)) if x > 0]
+        apart = math.inf if any(y <= 0 for _, y in pairs) else sum(x * math.log(x / y) for x, y in pairs)
+        if SKETCH * apart < DOUBT:
+            return None
+    return s >= similarity
+
+
 def features(docs: DataFrame, width: int) -> DataFrame:
-    """doc, code, digest, fp, mins and sketch of docs (doc, code, body)."""
-    names = ["doc", "code", "digest", "fp", "mins", "sketch"]
+    """doc, code, digest, fp, mins, size and sketch of docs (doc, code, body)."""
+    names = ["doc", "code", "digest", "fp", "mins", "size", "sketch"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            digests, fps, mins, sketches = [], [], [], []
+            digests, fps, mins, sizes, sketches = [], [], [], [], []
             for body in b.column("body").to_pylist():
                 own = shingle_set(body or b"", width)
                 digests.append(hashlib.blake2b(own.tobytes(), digest_size=16).hexdigest())
                 fps.append(fingerprint(own))
                 mins.append([int(words.mix(own ^ s).min().view(np.int64)) for s in _SEEDS] if len(own) else [])
+                sizes.append(len(own))
                 sketches.append(np.unique((own[:SKETCH] >> np.uint64(32)).astype(np.uint32)).tobytes())
             yield pa.RecordBatch.from_arrays(
-                [b.column("doc"), b.column("code"), pa.array(digests), pa.array(np.array(fps, np.uint64).view(np.int64)), pa.array(mins, pa.list_(pa.int64())), pa.array(sketches, pa.binary())], names=names
+                [b.column("doc"), b.column("code"), pa.array(digests), pa.array(np.array(fps, np.uint64).view(np.int64)), pa.array(mins, pa.list_(pa.int64())), pa.array(sizes, pa.int32()), pa.array(sketches, pa.binary())], names=names
             )
 
-    return docs.mapInArrow(run, "doc long, code long, digest string, fp long, mins array<long>, sketch binary")
+    return docs.mapInArrow(run, "doc long, code long, digest string, fp long, mins array<long>, size int, sketch binary")
 
 
 def links(feats: DataFrame, small: DataFrame, similarity: float, radius: int) -> DataFrame:
-    """Links (a, b) of digests that join them into classes."""
+    """Links (a, b, sure) of digests that join them into classes; those not sure are yet to be decided on whole sets."""
     parts = n_partitions(feats.sparkSession)
     seeds = small.select("digest", "fp", F.posexplode("mins").alias("way", "least_hash")).select("digest", "fp", F.xxhash64("way", "least_hash").alias("shard"))
     busy = seeds.groupBy("shard").agg(F.count(F.lit(1)).alias("members")).where(F.col("members") > 1)
@@ -81,27 +104,73 @@ def links(feats: DataFrame, small: DataFrame, similarity: float, radius: int) ->
     own = F.pmod(F.xxhash64("digest"), n).cast("int")
     pairs = F.transform(F.sequence(F.lit(0), n - 1), lambda x: F.xxhash64(F.col("shard"), F.least(x, own), F.greatest(x, own)))
     seeds = seeds.select("digest", "fp", F.explode(F.when(F.col("members") > BLOCK, pairs).otherwise(F.array("shard"))).alias("shard"))
-    sketches = feats.join(seeds.select("digest").distinct(), "digest", "left_semi").select("digest", "sketch").dropDuplicates(["digest"])
-    rows = seeds.join(sketches, "digest").select("shard", "digest", "fp", "sketch")
+    sketches = feats.join(seeds.select("digest").distinct(), "digest", "left_semi").select("digest", "size", "sketch").dropDuplicates(["digest"])
+    rows = seeds.join(sketches, "digest").select("shard", "digest", "fp", "size", "sketch")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def close(held: list) -> pa.RecordBatch:
-            sets = [np.frombuffer(s, np.uint32) for _, _, s in held]
-            found = forest([fp & (1 << 64) - 1 for _, fp, _ in held], radius, lambda i, j: sketch_similarity(sets[i], sets[j]) >= similarity)
-            return pa.RecordBatch.from_arrays([pa.array([held[i][0] for i, _ in found], pa.string()), pa.array([held[j][0] for _, j in found], pa.string())], names=["a", "b"])
+        def close(held: list) -> Iterator[pa.RecordBatch]:
+            sets = [np.frombuffer(s, np.uint32) for *_, s in held]
+            open_i, open_j = array("i"), array("i")
+
+            def agree(i: int, j: int) -> bool:
+                same = similar(sets[i], sets[j], (held[i][2], held[j][2]), similarity)
+                if same is None:
+                    open_i.append(i)
+                    open_j.append(j)
+                return bool(same)
+
+            found = forest([fp & (1 << 64) - 1 for _, fp, _, _ in held], radius, agree)
+            root = list(range(len(held)))
+            for i, j in found:  # the class of i, all before it, meets that of j
+                while root[i] != i:
+                    i = root[i]
+                while root[j] != j:
+                    j = root[j]
+                root[max(i, j)] = min(i, j)
+            for i in range(len(root)):  # a root is never after its members
+                root[i] = root[root[i]]
+            root = np.array(root)
+            left, right = np.frombuffer(open_i, np.int32), np.frombuffer(open_j, np.int32)
+            apart = root[left] != root[right]
+            left, right = np.r_[[i for i, _ in found], left[apart]].astype(int), np.r_[[j for _, j in found], right[apart]].astype(int)
+            for at in range(0, len(left), 1 << 16):
+                part = slice(at, at + (1 << 16))
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([held[i][0] for i in left[part]], pa.string()), pa.array([held[j][0] for j in right[part]], pa.string()), pa.array(np.arange(len(left))[part] < len(found))], names=["a", "b", "sure"]
+                )
 
         shard, held = None, []
         for b in batches:
-            for s, *row in zip(*(b.column(c).to_pylist() for c in ("shard", "digest", "fp", "sketch"))):
+            for s, *row in zip(*(b.column(c).to_pylist() for c in ("shard", "digest", "fp", "size", "sketch"))):
                 if s != shard:
                     if len(held) > 1:
-                        yield close(held)
+                        yield from close(held)
                     shard, held = s, []
                 held.append(row)
         if len(held) > 1:
-            yield close(held)
+            yield from close(held)
+
+    return rows.repartition(parts, "shard").sortWithinPartitions("shard", "digest").mapInArrow(run, "a string, b string, sure boolean").distinct()
+
+
+def decide(unsure: DataFrame, texts: DataFrame, small: DataFrame, width: int, similarity: float) -> DataFrame:
+    """Of the pairs of digests (a, b), those whose whole shingle sets reach the similarity; texts: doc, code, body."""
+    names = unsure.select(F.col("a").alias("digest")).union(unsure.select(F.col("b").alias("digest"))).distinct()
+    wanted = small.join(names, "digest", "left_semi").select("least.doc", "least.code", "digest")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for at in range(0, b.num_rows, SETS):
+                part = b.slice(at, SETS)
+                sets = [shingle_set(body or b"", width).view(np.int64) for body in part.column("body").to_pylist()]
+                yield pa.RecordBatch.from_arrays([part.column("digest"), pa.array(sets, pa.list_(pa.int64()))], names=["digest", "set"])
 
-    return rows.repartition(parts, "shard").sortWithinPartitions("shard", "digest").mapInArrow(run, "a string, b string").distinct()
+    once = texts.join(wanted, ["doc", "code"]).select("digest", "body").dropDuplicates(["digest"])
+    sets = cut(once.mapInArrow(run, "digest string, set array<long>"))
+    pairs = unsure.join(sets.select(F.col("digest").alias("a"), F.col("set").alias("sa")), "a").join(sets.select(F.col("digest").alias("b"), F.col("set").alias("sb")), "b")
+    shared = F.size(F.array_intersect("sa", "sb"))
+    counted = pairs.select("a", "b", shared.alias("shared"), (F.size("sa") + F.size("sb")).alias("sizes"))
+    return counted.where(F.col("shared") / (F.col("sizes") - F.col("shared")) >= similarity).select("a", "b")
 
 
 def near_dedup(df: DataFrame, width: int = 5, similarity: float = 0.8, radius: int = 22, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -119,9 +188,18 @@ def near_dedup(df: DataFrame, width: int = 5, similarity: float = 0.8, radius: i
     """
     last = (1 << 63) - 1
     key = [F.coalesce(F.col(id_col).cast("long"), F.lit(last)).alias("doc"), F.coalesce(F.xxhash64(F.col(text_col)), F.lit(0)).alias("code")]
-    feats = cut(features(df.select(*key, F.col(text_col).cast("binary").alias("body")), width))
+    texts = df.select(*key, F.col(text_col).cast("binary").alias("body"))
+    feats = cut(features(texts, width))
     small = feats.groupBy("digest").agg(F.min(F.struct("doc", "code")).alias("least"), F.first("fp").alias("fp"), F.first("mins").alias("mins"))
-    roots = connected_components(cut(links(feats, small, similarity, radius)))
+    found = cut(links(feats, small, similarity, radius))
+    sure, unsure = found.where("sure").select("a", "b"), found.where("not sure").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    roots = connected_components(sure)
+    if not unsure.isEmpty():
+        # pairs that sure links join in the end need no look at their sets
+        sides = [roots.select(F.col("node").alias(x), F.col("component").alias(f"root_{x}")) for x in "ab"]
+        apart = unsure.join(sides[0], "a", "left").join(sides[1], "b", "left").where(F.coalesce("root_a", "a") != F.coalesce("root_b", "b")).select("a", "b")
+        more = decide(cut(apart), texts, small, width, similarity)
+        roots = connected_components(cut(roots.select(F.col("node").alias("a"), F.col("component").alias("b")).union(more)))
     named = small.select("digest", "least").join(roots.withColumnRenamed("node", "digest"), "digest", "left")
     stay = named.groupBy(F.coalesce("component", "digest").alias("root")).agg(F.min("least").alias("least")).select("least.doc", "least.code")
     packed = df.select(*key, F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("row"))

@@ -194,6 +194,20 @@ def test_near_dedup(docs, none):
     assert near_dedup(none).count() == 0
 
 
+def test_near_dedup_of_long_texts(spark):
+    """Pairs of over 512 shingles on both sides of the bound, too near for a sketch to tell."""
+    rows, linked = [], 0
+    for n in range(24):
+        own = 180 + n
+        shared = [f"s{n}x{k}" for k in range(1504)]
+        rows += [(2 * n + side, " ".join(shared + [f"o{n}x{side}x{k}" for k in range(own)])) for side in (0, 1)]
+        linked += 1500 / (1500 + 2 * own) >= 0.8
+    assert 0 < linked < 24
+    got = {r.doc_id for r in near_dedup(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).select("doc_id").collect()}
+    want = {2 * n + side for n in range(24) for side in (0, 1) if side == 0 or 1500 / (1500 + 2 * (180 + n)) < 0.8}
+    assert got == want
+
+
 def test_line_dedup(spark, docs, none):
     rows = [(1, "x y z w\nmenu home about contact\nown line of one"), (2, "menu home about contact\nown line of two two"), (3, "menu home about contact\nshort"), (4, None), (5, ""), (None, "menu home about contact"), (2, "menu home about contact\nown line of two two")]
     rows += [(10 + i, f"page {i * 37} of 99 shown here\nunlike {' '.join(random.Random(i).sample(WORDS, 9))}") for i in range(4)]
