@@ -3,12 +3,16 @@
 A text is brought to a canonical form (case, punctuation, white space,
 copyright lines and equivalent spellings no longer matter) and its digest is
 looked up among the digests of known licence texts by a hash join. The same
-lookup for each line finds short notices inside documents. Texts never move:
-only digests of lines that could match are joined.
+lookup for each line finds short notices inside documents. Whole texts are
+looked up without their title, and those of the BSD family without the names
+of holders and the marks of clauses. Texts never move: only digests of lines
+that could match are joined.
 """
 
 from __future__ import annotations
 
+from pathlib import Path
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -71,7 +75,29 @@ THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH RE
     "notice:all-rights-reserved": "All rights reserved.",
 }
 
-_COPYRIGHT = r"(?m)^[ \t]*(copyright|\(c\)|©).*$"
+#: Words that follow "copyright" in the body of a licence, where a line may begin with it; a notice goes on with a mark, a year or a holder.
+_BODY = r"(?:notices?|holders?|owners?|ownership|laws?|licen[cs]es?|interests?|statements?|permissions?|protections?|rights?|disclaimers?|doctrines?|treaty|treaties|infringements?|status|and|or|on|in|if|is|are|as|to|for|may|shall|resulting|(?:of )?(?:this|these|such|any)|(?:of )?the (?:software|program|library|package|work|document))\b"
+_COPYRIGHT = r"(?m)^[ \t]*(?:©|\(c\)(?=[ \t]*(?:©|copyright\b)|.*\b(?:19|20)\d\d\b|.*all rights reserved)|copyright(?=[ \t:(©])(?![ \t:]*(?:\r?$|\((?!c\)|©)|[,;.)]|" + _BODY + "))).*$"
+#: Titles in canonical form, and what is left of a copyright notice below it.
+_TITLE = (
+    r"^(?:(?:license )?(?:the )?(?:"
+    r"(?:mit|expat|isc) license(?: mit| isc| expat)?"
+    r"|(?:new |modified |revised |simplified |original )?(?:[234] clause )?bsd(?: [234] clause)?(?: new or revised| new| revised| simplified)? license"
+    r"|apache license(?: version)? 2 0(?: january 2004)?(?: https? www apache org licenses)?"
+    r"|(?:gnu )?(?:lesser |library |affero )?general public license(?: version \d(?: \d)?)?(?: \d+)?(?: (?:january|february|june|november) (?:\d+ )?\d{4})?"
+    r"|mozilla public license version \d \d"
+    r") )?(?:all rights reserved )?"
+)
+#: Forms up to this length are notices and keep all their words.
+_SHORT = 200
+#: What the SPDX templates of the BSD family leave open.
+_HOLDERS = {
+    r" (?:\d|[a-d]) (redistributions |neither the name |the names? )": " $1",
+    r" neither the names? .{1,300}? may be used to endorse ": " neither the name of holder may be used to endorse ",
+    r" this software is provided by .{1,300}? as is and ": " this software is provided by holder as is and ",
+    r" in no event shall .{1,300}? be liable ": " in no event shall holder be liable ",
+}
+_END = "END OF TERMS AND CONDITIONS"
 _SPELLING = r"(^| )(" + "|".join(EQUIVALENT) + r")( |$)"
 
 
@@ -90,14 +116,37 @@ def canonical(text: Column) -> Column:
     return bound(F.lower(text), lambda low: bound(plain(low), spelled))
 
 
-def known_digests(spark: SparkSession, known: dict[str, str] | DataFrame = KNOWN) -> DataFrame:
+def looked_up(form: Column) -> Column:
+    """What of a whole text's canonical form is looked up: no title, and no holders in texts of the BSD family."""
+
+    def open_fields(body: Column) -> Column:
+        done = body
+        for pattern, text in _HOLDERS.items():
+            done = F.regexp_replace(done, pattern, text)
+        return F.when(body.startswith("redistribution and use in source and binary forms"), done).otherwise(body)
+
+    return F.when(F.length(form) > _SHORT, bound(F.regexp_replace(form, _TITLE, ""), open_fields)).otherwise(form)
+
+
+def library() -> list[tuple[str, str]]:
+    """(license, text) of KNOWN and of the whole texts in the folder ``licenses``; a text with an appendix also without it."""
+    rows = list(KNOWN.items())
+    for file in sorted((Path(__file__).parent / "licenses").glob("*.txt")):
+        text = file.read_text(encoding="utf-8")
+        rows.append((file.stem, text))
+        if _END in text:
+            rows += [(file.stem, text[: text.index(_END)]), (file.stem, text[: text.index(_END) + len(_END)])]
+    return rows
+
+
+def known_digests(spark: SparkSession, known: dict[str, str] | list[tuple[str, str]] | DataFrame = KNOWN) -> DataFrame:
     """digest, license of the known texts; of equal digests the least identifier. Texts without a word are left out."""
-    rows = known if isinstance(known, DataFrame) else spark.createDataFrame(list(known.items()), "license string, text string")
-    found = rows.select("license", canonical(F.col("text")).alias("form")).where(F.col("license").isNotNull() & (F.col("form") != ""))
+    rows = known if isinstance(known, DataFrame) else spark.createDataFrame(list(known.items()) if isinstance(known, dict) else known, "license string, text string")
+    found = rows.select("license", looked_up(canonical(F.col("text"))).alias("form")).where(F.col("license").isNotNull() & (F.col("form") != ""))
     return found.groupBy(F.md5(F.col("form").cast("binary")).alias("digest")).agg(F.min("license").alias("license"))
 
 
-def license_scan(df: DataFrame, known: dict[str, str] | DataFrame = KNOWN, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def license_scan(df: DataFrame, known: dict[str, str] | list[tuple[str, str]] | DataFrame = KNOWN, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id_col, digest, license (the known text that the whole text equals) and notices (sorted identifiers of the lines that equal one).
 
     Defined cases: a null text has no digest, licence or notices (an empty
@@ -111,7 +160,10 @@ def license_scan(df: DataFrame, known: dict[str, str] | DataFrame = KNOWN, id_co
     digests = known_digests(spark, known)
     text = F.col(text_col)
     docs = df.select(F.col(id_col).alias("doc"), F.xxhash64(id_col, text_col).alias("code"), text.alias("body"))
-    whole = docs.select("doc", "code", F.md5(canonical(F.col("body")).cast("binary")).alias("digest")).join(digests, "digest", "left")
+    # one string leaves the lambda: the digest, then that of what is looked up
+    both = bound(canonical(F.col("body")), lambda form: F.concat(F.md5(form.cast("binary")), F.md5(looked_up(form).cast("binary"))))
+    forms = docs.select("doc", "code", both.alias("both")).select("doc", "code", F.substring("both", 1, 32).alias("own"), F.substring("both", 33, 32).alias("digest"))
+    whole = forms.join(digests, "digest", "left").select("doc", "code", F.col("own").alias("digest"), "license")
     forms = F.array_distinct(F.transform(F.split("body", "\n"), lambda x: F.md5(canonical(x).cast("binary"))))
     lines = docs.select("code", F.explode(forms).alias("digest")).join(digests, "digest").select("code", "license")
     notices = lines.groupBy("code").agg(F.array_sort(F.collect_set("license")).alias("notices"))

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from lakeloom.llm.ann import ann_cosine
 from lakeloom.llm.bpe import encode_decode
 from lakeloom.llm.langid import fit_languages, held_out, identify
-from lakeloom.llm.license_scan import LICENSE_SQL, license_scan
+from lakeloom.llm.license_scan import LICENSE_SQL, library, license_scan
 from lakeloom.llm.line_dedup import LINE_DEDUP_SQL, line_dedup
 from lakeloom.llm.packing import pack_documents
 from lakeloom.llm.simhash import simhash_components
@@ -27,7 +27,7 @@ def op1_packing(spark: SparkSession, sf_dir: str, tokenizer: str | None = None)
 
 
 def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    done = license_scan(table(spark, sf_dir, "documents"))
+    done = license_scan(table(spark, sf_dir, "documents"), library())
     return done.select("doc_id", "digest", "license", F.array_join("notices", ",").alias("notices"))
 
 

@@ -1,6 +1,8 @@
+import textwrap
+
 import pytest
 
-from lakeloom.llm.license_scan import KNOWN, license_scan
+from lakeloom.llm.license_scan import KNOWN, library, license_scan
 
 MIT, NOTICE = KNOWN["MIT"], KNOWN["notice:MIT"]
 
@@ -22,3 +24,21 @@ def test_known_texts(spark, known):
     table = spark.createDataFrame(list(known.items()), "license string, text string")
     got = {r.doc_id: r.license for r in license_scan(df, table).collect()}
     assert got == {1: "b" if known else None, 2: None}
+
+
+def test_whole_texts_however_titled_and_wrapped(spark):
+    def wrapped(text, width):  # paragraphs without a copyright notice
+        parts = text.split("\n\n")
+        return "\n\n".join(p if "opyright (" in p or "opyright [" in p else textwrap.fill(p, width, break_on_hyphens=False, break_long_words=False) for p in parts)
+
+    whole = [(name, text) for name, text in library() if not name.startswith("notice:")]
+    assert {"Apache-2.0", "BSD-2-Clause", "BSD-3-Clause", "GPL-2.0", "GPL-3.0", "LGPL-2.1", "MPL-2.0", "MIT", "ISC"} <= {name for name, _ in whole}
+    rows = [(name, wrapped(text, width)) for name, text in whole for width in (40, 66, 72, 75, 80, 100, 10**6)] + whole
+    title = {"MIT": ["MIT License", "The MIT License (MIT)"], "ISC": ["ISC License"]}
+    rows += [(name, f"{t}\n\nCopyright (c) 2021 Some One\n\n{wrapped(KNOWN[name], 76)}") for name, ts in title.items() for t in ts]
+    texts = dict(whole)
+    mine = texts["BSD-3-Clause"].replace("The Regents of the University of California", "2019, Some One").replace("the name of the University", "the name of Some One").replace("REGENTS", "COPYRIGHT HOLDERS").replace("\n1.", "\n*").replace("\n2.", "\n*").replace("\n3.", "\n*")
+    rows += [("BSD-3-Clause", "BSD 3-Clause License\n\n" + mine), ("Apache-2.0", texts["Apache-2.0"].replace("[yyyy] [name of copyright owner]", "2020 Some One")), (None, texts["Apache-2.0"].replace("(c) You must", "(c) You need not")), (None, texts["BSD-2-Clause"] + " more")]
+    df = spark.createDataFrame([(i, t) for i, (_, t) in enumerate(rows)], "doc_id int, text string")
+    got = {r.doc_id: r.license for r in license_scan(df, library()).collect()}
+    assert [(i, rows[i][0], got[i], rows[i][1][:60]) for i in got if got[i] != rows[i][0]] == []
