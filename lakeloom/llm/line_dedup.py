@@ -4,8 +4,9 @@ The tree has a fixed depth: the number of a line's tokens, then its leading
 tokens. Tokens with digits are variable fields from the start. In a leaf with
 several different lines, the most frequent token of each position makes the
 leaf's template; lines that agree with it in enough positions belong to it and
-the positions where they differ are variable too. Other lines are templates of
-their own. A template that recurs across documents is dropped from all of them
+the positions where they differ are variable too. The other lines vote again,
+those that share their most frequent token, until a leaf's vote takes no line.
+What is left then are templates of their own. A template that recurs across documents is dropped from all of them
 but the first, so that of a group of copies one stays whole.
 
 Only hashes of lines are shuffled, once per document and line, with partial
@@ -28,12 +29,28 @@ def line_tokens(line: Column) -> Column:
     return F.array_remove(F.split(masked, " "), "")  # one character: no regular expression
 
 
+def _fitting(lines: DataFrame, similar: float, narrow: bool) -> DataFrame:
+    """leaf, seq of the lines (leaf, seq, weight, line) that agree with their leaf's template; narrow: only the lines with the leaf's most frequent token that not all have vote."""
+    tokens = lines.select("leaf", "seq", "weight", F.posexplode(F.split("line", " ")).alias("position", "token"))
+    voters = tokens
+    if narrow:
+        size = lines.groupBy("leaf").agg(F.count(F.lit(1)).alias("all"))
+        held = tokens.groupBy("leaf", "position", "token").agg(F.sum("weight").alias("weight"), F.count(F.lit(1)).alias("n")).join(size, "leaf").where("n > 1 and n < all")
+        top = held.groupBy("leaf").agg(F.max(F.struct("weight", "position", "token")).alias("top")).select("leaf", "top.position", "top.token")
+        out = tokens.join(top.select("leaf").distinct(), "leaf", "left_semi").select("leaf", "seq").distinct().join(tokens.join(top, ["leaf", "position", "token"], "left_semi"), ["leaf", "seq"], "left_anti")
+        voters = tokens.join(out, ["leaf", "seq"], "left_anti")
+    votes = voters.groupBy("leaf", "position", "token").agg(F.sum("weight").alias("weight"))
+    template = votes.groupBy("leaf", "position").agg(F.max(F.struct("weight", "token")).alias("top")).select("leaf", "position", F.col("top.token").alias("common_token"))
+    agree = tokens.join(template, ["leaf", "position"]).groupBy("leaf", "seq").agg(F.avg((F.col("token") == F.col("common_token")).cast("int")).alias("share"))
+    return agree.where(F.col("share") >= similar)
+
+
 def line_dedup(df: DataFrame, min_docs: int = 3, min_tokens: int = 4, lead: int = 3, similar: float = 0.8, carry: bool = False, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Drop lines whose template recurs in ``min_docs`` documents or more, but from the first of them.
 
     Returns id_col, the new ``text_col``, ``_n_lines`` and ``_n_dropped``; with
     carry, all columns of df and those two. lead: leading tokens that the tree looks at. similar: share
-    of a line's tokens that must agree with its leaf's template. Lines of fewer
+    of a line's tokens that must agree with a template of its leaf. Lines of fewer
     than ``min_tokens`` tokens always stay.
 
     Defined cases: a null text stays null and has no lines; an empty text has
@@ -65,15 +82,21 @@ def line_dedup(df: DataFrame, min_docs: int = 3, min_tokens: int = 4, lead: int
     wanted = shown.select(F.col("where.doc").alias("doc"), F.col("where.code").alias("code"), F.col("where.at").alias("at"), "leaf", "seq", "weight")
     wanted = wanted.groupBy("doc", "code").agg(F.collect_list(F.struct("at", "leaf", "seq", "weight")).alias("wanted"))
     fetched = dealt.join(wanted.hint("shuffle_hash"), ["doc", "code"])
-    fetched = fetched.select(F.split("body", "\n").alias("lines"), F.explode("wanted").alias("w")).select("w.leaf", "w.seq", "w.weight", line_tokens(F.get("lines", F.col("w.at"))).alias("tokens"))
+    fetched = fetched.select(F.split("body", "\n").alias("lines"), F.explode("wanted").alias("w")).select("w.leaf", "w.seq", "w.weight", F.array_join(line_tokens(F.get("lines", F.col("w.at"))), " ").alias("line"))
     fetched = fetched.dropDuplicates(["leaf", "seq"])  # rows that repeat
-    tokens = fetched.select("leaf", "seq", "weight", F.posexplode("tokens").alias("position", "token"))
-    votes = tokens.groupBy("leaf", "position", "token").agg(F.sum("weight").alias("weight"))
-    template = votes.groupBy("leaf", "position").agg(F.max(F.struct("weight", "token")).alias("top")).select("leaf", "position", F.col("top.token").alias("common_token"))
-    agree = tokens.join(template, ["leaf", "position"]).groupBy("leaf", "seq").agg(F.avg((F.col("token") == F.col("common_token")).cast("int")).alias("share"))
-    general = agree.where(F.col("share") >= similar).select("leaf", "seq", F.lit(True).alias("general"))
-
-    named = common.join(general, ["leaf", "seq"], "left").select("doc", "code", "seq", F.when(F.col("general"), F.xxhash64("leaf", F.lit("*"))).otherwise(F.xxhash64("leaf", "seq")).alias("template"))
+    general, left, turn = None, cut(fetched), 0
+    while True:
+        fits = cut(_fitting(left, similar, narrow=turn > 0).select("leaf", "seq", F.lit(turn).alias("turn")))
+        general = fits if general is None else general.union(fits)
+        # a leaf whose template took no line, or with too few lines left, is done
+        left = left.join(fits.select("leaf").distinct(), "leaf", "left_semi").join(fits, ["leaf", "seq"], "left_anti")
+        more = left.groupBy("leaf").agg(F.count(F.lit(1)).alias("n"), F.sum("weight").alias("docs")).where((F.col("n") > 1) & (F.col("docs") >= min_docs))
+        left = cut(left.join(more.select("leaf"), "leaf", "left_semi"))
+        if left.isEmpty():
+            break
+        turn += 1
+
+    named = common.join(general, ["leaf", "seq"], "left").select("doc", "code", "seq", F.when(F.col("turn").isNotNull(), F.xxhash64("leaf", F.lit("*"), "turn")).otherwise(F.xxhash64("leaf", "seq")).alias("template"))
     recurring = (
         named.groupBy("template", "doc", "code").agg(F.lit(1).alias("one"))
         .groupBy("template").agg(F.count("one").alias("docs"), F.min(F.struct("doc", "code")).alias("first"))

@@ -224,6 +224,20 @@ def test_line_dedup(spark, docs, none):
     assert out.count() == len(rows) and line_dedup(docs.limit(0)).count() == 0 and line_dedup(df).columns[:2] == ["doc_id", "text"]
 
 
+def test_line_dedup_of_families_in_one_leaf(spark):
+    """Three families of lines with a variable field and the same three leading tokens and length."""
+    names = ["ann", "bob", "cy", "dee", "eve", "flo", "gus", "hal", "ivy", "jo"]
+    families = [("news about {} in our weekly section and archive", 10), ("post of {} from people that you may like", 5), ("book by {} with a cover that is blue", 4)]
+    rows, at = [], 0
+    for form, n in families:
+        for name in names[:n]:
+            rows.append((at, "read more here " + form.format(name)))
+            at += 1
+    got = {r.doc_id: r._n_dropped for r in line_dedup(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()}
+    assert got == {i: int(i not in (0, 10, 15)) for i in range(19)}
+
+
+
 def test_codecs_equal_the_library():
     from tokenizers import Tokenizer
 
