@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lakeloom.session import cut
+from lakeloom.session import cut, n_partitions
 
 
 def edges(df: DataFrame, src: str = "src", dst: str = "dst", weight: str | None = None, drop_loops: bool = False) -> DataFrame:
@@ -41,15 +42,7 @@ def dangling(e: DataFrame) -> DataFrame:
     return nodes(e).join(e.select(F.col("src").alias("node")).distinct(), "node", "left_anti")
 
 
-def pagerank(
-    e: DataFrame,
-    d: float = 0.85,
-    iters: int = 20,
-    tol: float | None = None,
-    mode: str = "normalised",
-    restart: DataFrame | None = None,
-    checkpoint_every: int = 4,
-) -> DataFrame:
+def pagerank(e: DataFrame, d: float = 0.85, iters: int = 20, tol: float | None = None, mode: str = "normalised", restart: DataFrame | None = None, hub: int = 1024) -> DataFrame:
     """node, rank after ``iters`` rounds, or earlier once the L1 change is at most ``tol``.
 
     normalised: ranks start at 1/N and add up to 1; the rank of dangling nodes
@@ -57,33 +50,47 @@ def pagerank(
     1 - d and the dangling rank is lost. restart: (node, weight), a restart
     vector in place of the even one; its weights are scaled to add up to 1.
 
-    A round joins ranks with out-shares by node and adds up by destination
-    with partial sums before the shuffle, so a hub's in-edges never meet in one
-    row list. The edges' shares are cut once, and the ranks every
-    ``checkpoint_every`` rounds, so that the plan does not grow.
+    The edges' shares are dealt by node once and kept so, on disk where memory
+    is short; a round moves ranks and partial sums by destination, never the
+    edges. Nodes with over 1 / ``hub`` of all edges are fewer than ``hub``:
+    their edges stay where they are and meet their ranks by broadcast. Each
+    round ends with a checkpoint of the ranks, so the plan does not grow.
     """
     if mode not in ("normalised", "unnormalised"):
         raise ValueError(mode)
-    out = e.groupBy("src").agg(F.sum("weight").alias("total"))
-    share = cut(e.join(out, "src").select(F.col("src").alias("node"), "dst", (F.col("weight") / F.col("total")).alias("share")))
-    base = nodes(e).join(out.select(F.col("src").alias("node"), F.lit(False).alias("loose")), "node", "left").select("node", F.coalesce("loose", F.lit(True)).alias("loose"))
+    spark = e.sparkSession
+    parts = n_partitions(spark)
+    out = e.groupBy("src").agg(F.sum("weight").alias("total"), F.count(F.lit(1)).alias("links"))
+    base = nodes(e).join(out.select(F.col("src").alias("node"), "total", "links"), "node", "left")
     if restart is not None:
         r = restart.select("node", F.col("weight").cast("double").alias("w")).groupBy("node").agg(F.sum("w").alias("w"))
         base = base.join(r, "node", "left").withColumn("w", F.coalesce("w", F.lit(0.0)))
-        total = base.agg(F.sum("w")).first()[0] or 0.0
-        if total <= 0:
-            raise ValueError("no node of the restart vector is in the graph")
-        base = base.select("node", "loose", (F.col("w") / F.lit(total)).alias("jump"))
+    else:
+        base = base.withColumn("w", F.lit(1.0))
     base = cut(base)
-    n = base.count()
+    n, total, most, all_links = base.agg(F.count(F.lit(1)), F.sum("w"), F.max("links"), F.sum("links")).first()
     if n == 0:
         return base.select("node", F.lit(0.0).alias("rank"))
-    if restart is None:
-        base = base.withColumn("jump", F.lit(1.0 / n))
+    if not total > 0:
+        raise ValueError("no node of the restart vector is in the graph")
+    many = (all_links or 0) // hub
+    hubs = (most or 0) > max(1, many)
+    base = base.select("node", "total", "links", F.col("total").isNull().alias("loose"), (F.col("w") / F.lit(total)).alias("jump")).repartition(parts, "node").persist(StorageLevel.MEMORY_AND_DISK)
+    rows = e.select(F.col("src").alias("node"), "dst", "weight")
+    of_hubs = None
+    if hubs:
+        wide = F.broadcast(base.where(F.col("links") > max(1, many)).select("node", "total"))
+        of_hubs = cut(rows.join(wide, "node").select("node", "dst", (F.col("weight") / F.col("total")).alias("share")))
+        rows = rows.join(wide.select("node"), "node", "left_anti")
+    dealt = rows.repartition(parts, "node").join(base.select("node", "total"), "node").select("node", "dst", (F.col("weight") / F.col("total")).alias("share")).persist(StorageLevel.MEMORY_AND_DISK)
     scaled = mode == "normalised"
-    rank = base.select("node", (F.col("jump") if scaled else F.lit(1.0)).alias("rank"), "loose", "jump")
-    for i in range(1, iters + 1):
-        flow = rank.join(share, "node").groupBy(F.col("dst").alias("node")).agg(F.sum(F.col("rank") * F.col("share")).alias("flow"))
+    rank = base.select("node", (F.col("jump") if scaled else F.lit(1.0)).alias("rank"), "loose", "links")
+    for _ in range(iters):
+        flow = rank.join(dealt, "node").select("dst", (F.col("rank") * F.col("share")).alias("flow"))
+        if of_hubs is not None:
+            wide = F.broadcast(rank.where(F.col("links") > max(1, many)).select("node", "rank"))
+            flow = flow.union(of_hubs.join(wide, "node").select("dst", (F.col("rank") * F.col("share")).alias("flow")))
+        flow = flow.groupBy(F.col("dst").alias("node")).agg(F.sum("flow").alias("flow"))
         new = base.join(flow, "node", "left")
         flowed = F.coalesce("flow", F.lit(0.0))
         if scaled:
@@ -92,12 +99,14 @@ def pagerank(
             value = (1 - d) * F.col("jump") + d * (flowed + F.col("lost") * F.col("jump"))
         else:
             value = (1 - d) + d * flowed
-        new = new.select("node", value.alias("rank"), "loose", "jump")
-        if i % checkpoint_every == 0 or tol is not None:
-            new = cut(new)
+        new = cut(new.select("node", value.alias("rank"), "loose", "links"))
+        change = None
         if tol is not None:
             change = rank.select("node", F.col("rank").alias("old")).join(new, "node").agg(F.sum(F.abs(F.col("rank") - F.col("old")))).first()[0]
-            if change <= tol:
-                return new.select("node", "rank")
         rank = new
+        if change is not None and change <= tol:
+            break
+    dealt.unpersist()
+    if iters > 0:
+        base.unpersist()
     return rank.select("node", "rank")
