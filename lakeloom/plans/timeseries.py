@@ -32,6 +32,15 @@ def ts_difference(spark, d):
     return _shown(S.difference(_hourly(spark, d), d=1, seasonal=1, lag=DAY))
 
 
+def ts_difference_gaps(spark, d):
+    """Twice differenced daily counts of each user: no difference bridges a day without events."""
+    return _shown(S.difference(S.regularise(table(spark, d, "events"), "user_id", "ts", None, "day", "count"), d=2))
+
+
+def ts_rolling(spark, d):
+    return _shown(S.rolling(_hourly(spark, d), 5, 2))
+
+
 def ts_acf(spark, d):
     return S.acf(_hourly(spark, d), LAGS).select("series", "lag", F.round("acf", 8).alias("acf"))
 
@@ -102,7 +111,7 @@ acf as (select series, sum(z0 * z0) as s0, """ + ", ".join(f"sum(z0 * z{k}) / su
 _AR1 = """fit{of} as (select series, count(*) as n, regr_intercept(y, y1) as intercept, regr_slope(y, y1) as phi, regr_syy(y, y1) as syy, regr_sxx(y, y1) as sxx
 from (select series, y, lag(y, 1) over (partition by series order by t) as y1 from {of}) where y1 is not null group by 1)"""
 
-QUERIES = {f.__name__: f for f in (ts_regularise, ts_regularise_gaps, ts_difference, ts_acf, ts_pacf, ts_pacf_long, ts_adf, ts_adf_lags, ts_ar1, ts_ar2, ts_ar5, ts_arima_fit, ts_auto_order, ts_forecast, ts_forecast_ar1, ts_ljung_box, ts_eval)}
+QUERIES = {f.__name__: f for f in (ts_regularise, ts_regularise_gaps, ts_difference, ts_difference_gaps, ts_rolling, ts_acf, ts_pacf, ts_pacf_long, ts_adf, ts_adf_lags, ts_ar1, ts_ar2, ts_ar5, ts_arima_fit, ts_auto_order, ts_forecast, ts_forecast_ar1, ts_ljung_box, ts_eval)}
 ORACLES = {
     "ts_regularise": f"with {_H} select series, strftime(t, '%Y-%m-%d %H:%M:%S') as t, round(y, 6) as y from h",
     "ts_regularise_gaps": """with sums as (select user_id as series, date_trunc('day', ts)::timestamp as t, cast(count(*) as double) as y from events where ts is not null group by 1, 2),
@@ -111,6 +120,12 @@ select g.series, strftime(g.t, '%Y-%m-%d %H:%M:%S') as t, round(s.y, 6) as y fro
     "ts_difference": f"""with {_H}, s as (select series, t, y - lag(y, 24) over (partition by series order by t) as y from h), k as (select * from s where y is not null),
 f as (select series, t, y - lag(y, 1) over (partition by series order by t) as y from k)
 select series, strftime(t, '%Y-%m-%d %H:%M:%S') as t, round(y, 6) as y from f where y is not null""",
+    "ts_difference_gaps": """with sums as (select user_id as series, date_trunc('day', ts)::timestamp as t, cast(count(*) as double) as y from events where ts is not null group by 1, 2),
+span as (select series, min(t) as a, max(t) as b from sums group by 1), grid as (select series, unnest(generate_series(a, b, interval 1 day)) as t from span),
+g as (select g.series, g.t, s.y from grid g left join sums s on g.series = s.series and g.t = s.t),
+f as (select g.series, g.t, g.y - 2 * a.y + b.y as y from g join g a on a.series = g.series and a.t = g.t - interval 1 day join g b on b.series = g.series and b.t = g.t - interval 2 day)
+select series, strftime(t, '%Y-%m-%d %H:%M:%S') as t, round(y, 6) as y from f where y is not null""",
+    "ts_rolling": f"with {_H} select series, strftime(t, '%Y-%m-%d %H:%M:%S') as t, round(avg(y) over (partition by series order by t rows between 5 preceding and 2 following), 6) as y from h",
     "ts_acf": f"with {_ACF} " + " union all ".join(f"select series, {k} as lag, round({'1.0::double' if k == 0 else f'r{k}'}, 8) as acf from acf" for k in range(LAGS + 1)),
     "ts_pacf": f"with {_ACF} select series, 1 as lag, round(r1, 8) as pacf from acf union all select series, 2, round((r2 - r1 * r1) / (1 - r1 * r1), 8) from acf",
     "ts_adf": f"""with {_H}, x as (select series, lag(y, 1) over (partition by series order by t) as x, y - lag(y, 1) over (partition by series order by t) as dy from h),
