@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+from pyspark import StorageLevel
 from pyspark.ml.clustering import KMeans, KMeansModel
 from pyspark.ml.feature import HashingTF
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lakeloom.functions.text import char_shingles, normalise, tokens, word_shingles
+from lakeloom.functions.text import bound, char_shingles, normalise, tokens, word_shingles
 from lakeloom.operators.components import connected_components
 from lakeloom.session import cut
 
@@ -19,14 +20,30 @@ def shingles(df: DataFrame, width: int = 3, unit: str = "word", id_col: str = "d
     return df.select(F.col(id_col).alias("doc"), F.explode(own).alias("shingle"))
 
 
-def minhash(sh: DataFrame, n: int) -> DataFrame:
-    """doc, signature: for function i the least of the first 12 hex digits of md5(i:shingle).
+#: A prime above the 31 bits that the hash functions work in.
+_PRIME = (1 << 31) - 1
 
-    Partial minima are taken before the shuffle, so a row per document and task travels.
+
+def hash_parameters(n: int) -> list[tuple[int, int]]:
+    """(a, b) of the hash functions (a x + b) mod 2**31 - 1, by a fixed rule."""
+    return [((i + 1) * 48271 * 48271 % _PRIME * (2 * i + 3) % _PRIME, (i + 7) * 69621 % _PRIME) for i in range(n)]
+
+
+def minhash(df: DataFrame, n: int, width: int = 3, unit: str = "word", id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc, signature: for each of ``n`` hash functions the least value of a document's shingles.
+
+    A shingle's number is the first 8 hex digits of its md5, modulo 2**31 - 1.
+    A document's shingles are an array of its own row, so nothing is shuffled.
+    Blank texts have no shingles and no row.
     """
-    value = [F.conv(F.substring(F.md5(F.concat(F.lit(f"{i}:"), "shingle").cast("binary")), 1, 12), 16, 10).cast("long") for i in range(n)]
-    least = sh.groupBy("doc").agg(*[F.min(v).alias(f"m{i}") for i, v in enumerate(value)])
-    return least.select("doc", F.array(*[f"m{i}" for i in range(n)]).alias("signature"))
+    own = word_shingles(tokens(text_col), width) if unit == "word" else char_shingles(normalise(text_col), width)
+    number = F.transform(own, lambda s: F.pmod(F.conv(F.substring(F.md5(s.cast("binary")), 1, 8), 16, 10).cast("long"), F.lit(_PRIME)))
+
+    def least(numbers, a: int, b: int):
+        return F.array_min(F.transform(numbers, lambda x: (x * a + b) % _PRIME))
+
+    some = df.where(F.coalesce(normalise(text_col), F.lit("")) != "")
+    return some.select(F.col(id_col).alias("doc"), bound(number, lambda xs: F.array(*[least(xs, a, b) for a, b in hash_parameters(n)])).alias("signature"))
 
 
 def sig_similarity(a: str, b: str):
@@ -48,16 +65,19 @@ def candidates(sig: DataFrame, bands: int, rows: int) -> DataFrame:
     return pairs.union(stars).distinct()
 
 
-def verify(pairs: DataFrame, sh: DataFrame, threshold: float) -> DataFrame:
-    """a, b, jaccard of the pairs at or over the threshold, by shared shingles."""
-    # only the shingles of documents in a pair are joined
-    needed = pairs.select(F.explode(F.array("a", "b")).alias("doc")).distinct()
-    own = sh.join(needed, "doc", "left_semi")
-    size = own.groupBy("doc").agg(F.count(F.lit(1)).alias("n"))
-    left = pairs.join(own.select(F.col("doc").alias("a"), "shingle"), "a")
-    shared = left.join(own.select(F.col("doc").alias("b"), "shingle"), ["b", "shingle"]).groupBy("a", "b").agg(F.count(F.lit(1)).alias("shared"))
-    both = shared.join(size.select(F.col("doc").alias("a"), F.col("n").alias("na")), "a").join(size.select(F.col("doc").alias("b"), F.col("n").alias("nb")), "b")
-    return both.select("a", "b", (F.col("shared") / (F.col("na") + F.col("nb") - F.col("shared"))).alias("jaccard")).where(F.col("jaccard") >= threshold)
+def shingle_sets(df: DataFrame, width: int = 3, unit: str = "word", id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc, shingles: the distinct shingles of a document as 64-bit hashes, in an array."""
+    own = word_shingles(tokens(text_col), width) if unit == "word" else char_shingles(normalise(text_col), width)
+    return df.select(F.col(id_col).alias("doc"), F.transform(own, lambda s: F.xxhash64(s)).alias("shingles"))
+
+
+def verify(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
+    """a, b, jaccard of the pairs at or over the threshold, from the documents' sets (doc, shingles)."""
+    a = sets.select(F.col("doc").alias("a"), F.col("shingles").alias("sa"))
+    b = sets.select(F.col("doc").alias("b"), F.col("shingles").alias("sb"))
+    shared = F.size(F.array_intersect("sa", "sb"))
+    both = pairs.join(a, "a").join(b, "b").select("a", "b", shared.alias("shared"), (F.size("sa") + F.size("sb")).alias("sizes"))
+    return both.select("a", "b", (F.col("shared") / (F.col("sizes") - F.col("shared"))).alias("jaccard")).where(F.col("jaccard") >= threshold)
 
 
 def groups(pairs: DataFrame) -> DataFrame:
@@ -87,7 +107,11 @@ def assign(points: DataFrame, centres: DataFrame) -> DataFrame:
 
 def kmeans(points: DataFrame, k: int, seed: int = 42, max_iter: int = 20) -> KMeansModel:
     """Lloyd's iterations from k-means|| on points (id, v)."""
-    return KMeans(k=k, seed=seed, maxIter=max_iter, featuresCol="features").fit(points.select("id", array_to_vector("v").alias("features")).cache())
+    ready = points.select("id", array_to_vector("v").alias("features")).persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        return KMeans(k=k, seed=seed, maxIter=max_iter, featuresCol="features").fit(ready)
+    finally:
+        ready.unpersist()
 
 
 def centres_of(model: KMeansModel, spark) -> DataFrame:
@@ -109,6 +133,27 @@ def inertia(assigned: DataFrame) -> DataFrame:
     return assigned.agg(F.count(F.lit(1)).alias("n"), F.sum("distance2").alias("inertia"))
 
 
+def silhouette(points: DataFrame, assigned: DataFrame) -> DataFrame:
+    """n, silhouette: the mean over all points, with squared Euclidean distances.
+
+    A point's mean distance to a cluster follows from the cluster's size, sum
+    and sum of squared norms, so no pairs are made. A cluster of one scores 0;
+    with fewer than two clusters the mean is null.
+    """
+    norm = F.aggregate(F.col("v"), F.lit(0.0), lambda s, x: s + x * x)
+    rows = points.join(assigned.select("id", "centre"), "id").select("id", "v", "centre", norm.alias("norm"))
+    sums = rows.select("centre", "norm", F.posexplode("v").alias("i", "x")).groupBy("centre", "i").agg(F.sum("x").alias("x"), F.count(F.lit(1)).alias("size"), F.sum("norm").alias("norms"))
+    kinds = sums.groupBy("centre").agg(F.max("size").alias("size"), F.max("norms").alias("norms"), F.transform(F.array_sort(F.collect_list(F.struct("i", "x"))), lambda p: p["x"]).alias("sum"))
+    every = kinds.agg(F.collect_list(F.struct(F.col("centre").alias("of"), "size", "norms", "sum")).alias("every"))  # as many as the model has centres
+    dot = lambda k: F.aggregate(F.zip_with(F.col("v"), k["sum"], lambda a, b: a * b), F.lit(0.0), lambda s, x: s + x)
+    mean = lambda k, size: (k["size"] * F.col("norm") + k["norms"] - 2 * dot(k)) / size
+    own = F.get(F.filter("every", lambda k: k["of"] == F.col("centre")), F.lit(0))
+    others = F.array_min(F.transform(F.filter("every", lambda k: k["of"] != F.col("centre")), lambda k: mean(k, k["size"])))
+    placed = rows.crossJoin(F.broadcast(every)).select(others.alias("b"), F.when(own["size"] > 1, mean(own, own["size"] - 1)).alias("a"))
+    score = F.when(F.col("b").isNotNull(), F.when(F.col("a").isNull() | (F.greatest("a", "b") <= 0), 0.0).otherwise((F.col("b") - F.col("a")) / F.greatest("a", "b")))
+    return placed.agg(F.count(F.lit(1)).alias("n"), F.avg(score).alias("silhouette"))
+
+
 def purity(assigned: DataFrame, labels: DataFrame) -> DataFrame:
     """n, purity: the share of points with the commonest label of their cluster. labels: id, label."""
     counts = assigned.join(labels, "id").groupBy("centre", "label").agg(F.count(F.lit(1)).alias("n"))

@@ -5,15 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lakeloom.functions.text import normalise
+from lakeloom.functions.text import char_shingles, normalise
 from lakeloom.operators import documents as D
-from lakeloom.session import table
+from lakeloom.session import cut, table
 
-WIDTH, CHARS, HASHES, BANDS, THRESHOLD, CENTRES = 3, 5, 8, 4, 0.5, 5
-
-
-def _shingles(spark: SparkSession, d: str) -> DataFrame:
-    return D.shingles(table(spark, d, "documents"), WIDTH)
+#: At a similarity of 0.5, 24 bands of 2 miss a pair once in a thousand times.
+WIDTH, CHARS, HASHES, BANDS, THRESHOLD, CENTRES = 3, 5, 48, 24, 0.5, 5
 
 
 def doc_normalise(spark, d):
@@ -21,38 +18,37 @@ def doc_normalise(spark, d):
 
 
 def doc_shingles(spark, d):
-    return _shingles(spark, d).groupBy("doc").agg(F.count(F.lit(1)).alias("n"), F.min("shingle").alias("least"), F.max("shingle").alias("most"))
+    return D.shingles(table(spark, d, "documents"), WIDTH)
 
 
 def doc_char_shingles(spark, d):
-    sh = D.shingles(table(spark, d, "documents"), CHARS, unit="char")
-    return sh.groupBy("doc").agg(F.count(F.lit(1)).alias("n"), F.min("shingle").alias("least"), F.max("shingle").alias("most"))
+    """A digest of each document's sorted shingles."""
+    own = char_shingles(normalise("text"), CHARS)
+    rows = table(spark, d, "documents").where(F.coalesce(normalise("text"), F.lit("")) != "")
+    return rows.select(F.col("doc_id").alias("doc"), F.size(own).cast("long").alias("n"), F.md5(F.array_join(F.array_sort(own), "|").cast("binary")).alias("shingles"))
 
 
 def _signatures(spark, d):
-    return D.minhash(_shingles(spark, d), HASHES)
+    return D.minhash(table(spark, d, "documents"), HASHES, WIDTH)
 
 
 def doc_minhash(spark, d):
-    return _signatures(spark, d).select("doc", *[F.col("signature")[i].alias(f"m{i}") for i in range(HASHES)])
-
-
-def _candidates(spark, d):
-    return D.candidates(_signatures(spark, d), BANDS, HASHES // BANDS)
+    return _signatures(spark, d).select("doc", F.array_join("signature", ",").alias("signature"))
 
 
 def doc_candidates(spark, d):
-    return _candidates(spark, d)
+    return D.candidates(cut(_signatures(spark, d)), BANDS, HASHES // BANDS)
 
 
 def doc_sig_similarity(spark, d):
-    sig = _signatures(spark, d)
-    pairs = _candidates(spark, d).join(sig.select(F.col("doc").alias("a"), F.col("signature").alias("sa")), "a").join(sig.select(F.col("doc").alias("b"), F.col("signature").alias("sb")), "b")
-    return pairs.select("a", "b", D.sig_similarity("sa", "sb").alias("estimate"))
+    sig = cut(_signatures(spark, d))
+    pairs = D.candidates(sig, BANDS, HASHES // BANDS).join(sig.select(F.col("doc").alias("a"), F.col("signature").alias("sa")), "a").join(sig.select(F.col("doc").alias("b"), F.col("signature").alias("sb")), "b")
+    return pairs.select("a", "b", F.round(D.sig_similarity("sa", "sb"), 8).alias("estimate"))
 
 
 def _verified(spark, d):
-    return D.verify(_candidates(spark, d), _shingles(spark, d), THRESHOLD)
+    sets = D.shingle_sets(table(spark, d, "documents"), WIDTH)
+    return D.verify(D.candidates(cut(_signatures(spark, d)), BANDS, HASHES // BANDS), sets, THRESHOLD)
 
 
 def doc_verify(spark, d):
@@ -79,6 +75,10 @@ def km_inertia(spark, d):
     return D.inertia(D.assign(_points(spark, d), _centres(spark, d))).select("n", F.round("inertia", 4).alias("inertia"))
 
 
+def km_silhouette(spark, d):
+    return D.silhouette(_points(spark, d), D.assign(_points(spark, d), _centres(spark, d))).select("n", F.round("silhouette", 8).alias("silhouette"))
+
+
 def km_purity(spark, d):
     labels = table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), "label")
     return D.purity(D.assign(_points(spark, d), _centres(spark, d)), labels).select("n", F.round("purity", 8).alias("purity"))
@@ -100,7 +100,7 @@ def km_documents(spark, d):
 _W = r"""plain as (select doc_id as doc, trim(regexp_replace(lower(text), '[^\p{L}\p{N}]+', ' ', 'g')) as plain from documents where text is not null),
 words as (select doc, string_split(plain, ' ') as w from plain where plain <> ''),
 sh as materialized (select distinct doc, array_to_string(list_slice(w, i, i + 2), ' ') as shingle from (select doc, w, unnest(range(1, greatest(len(w) - 2, 1) + 1)) as i from words))"""
-_SIG = _W + ", sig as materialized (select doc, " + ", ".join(f"min(cast('0x' || substr(md5('{i}:' || shingle), 1, 12) as bigint)) as m{i}" for i in range(HASHES)) + " from sh group by doc)"
+_SIG = _W + ", num as materialized (select doc, cast('0x' || substr(md5(shingle), 1, 8) as bigint) % 2147483647 as x from sh), sig as materialized (select doc, " + ", ".join(f"min((x * {a} + {b}) % 2147483647) as m{i}" for i, (a, b) in enumerate(D.hash_parameters(HASHES))) + " from num group by doc)"
 _ALLM = ", ".join(f"m{i}" for i in range(HASHES))
 _CAND = _SIG + f""", same as (select {_ALLM}, min(doc) as doc from sig group by {_ALLM}),
 cand as materialized (
@@ -117,22 +117,29 @@ _KM = """p as (select vec_id as id, label, list_transform(embedding, lambda x: c
 d as (select p.id, p.label, c.id as centre, list_sum(list_transform(list_zip(p.v, c.v), lambda z: (z[1] - z[2]) * (z[1] - z[2]))) as distance2 from p cross join (select * from p where id < 5) c),
 near as (select id, label, cast(centre as integer) as centre, distance2 from (select *, row_number() over (partition by id order by distance2, centre) as r from d) where r = 1)"""
 
-QUERIES = {f.__name__: f for f in (doc_normalise, doc_shingles, doc_char_shingles, doc_minhash, doc_candidates, doc_sig_similarity, doc_verify, doc_groups, km_assign, km_inertia, km_purity, km_fit, km_documents)}
+QUERIES = {f.__name__: f for f in (doc_normalise, doc_shingles, doc_char_shingles, doc_minhash, doc_candidates, doc_sig_similarity, doc_verify, doc_groups, km_assign, km_inertia, km_silhouette, km_purity, km_fit, km_documents)}
 ORACLES = {
     "doc_normalise": r"select doc_id, trim(regexp_replace(lower(text), '[^\p{L}\p{N}]+', ' ', 'g')) as plain from documents",
-    "doc_shingles": f"with {_W} select doc, count(*) as n, min(shingle) as least, max(shingle) as most from sh group by doc",
+    "doc_shingles": f"with {_W} select doc, shingle from sh",
     "doc_char_shingles": r"""with plain as (select doc_id as doc, trim(regexp_replace(lower(text), '[^\p{L}\p{N}]+', ' ', 'g')) as plain from documents where text is not null),
 sh as (select distinct doc, substr(plain, i, 5) as shingle from (select doc, plain, unnest(range(1, greatest(length(plain) - 4, 1) + 1)) as i from plain where plain <> ''))
-select doc, count(*) as n, min(shingle) as least, max(shingle) as most from sh group by doc""",
-    "doc_minhash": f"with {_SIG} select doc, {_ALLM} from sig",
+select doc, count(*) as n, md5(string_agg(shingle, '|' order by shingle)) as shingles from sh group by doc""",
+    "doc_minhash": f"with {_SIG} select doc, concat_ws(',', {_ALLM}) as signature from sig",
     "doc_candidates": f"with {_CAND} select a, b from cand",
-    "doc_sig_similarity": f"with {_CAND} select a, b, ({' + '.join(f'cast(x.m{i} = y.m{i} as integer)' for i in range(HASHES))}) / cast({HASHES} as double) as estimate from cand join sig x on a = x.doc join sig y on b = y.doc",
+    "doc_sig_similarity": f"with {_CAND} select a, b, round(({' + '.join(f'cast(x.m{i} = y.m{i} as integer)' for i in range(HASHES))}) / cast({HASHES} as double), 8) as estimate from cand join sig x on a = x.doc join sig y on b = y.doc",
     "doc_verify": f"with {_VER} select a, b, round(jaccard, 8) as jaccard from ver",
     "doc_groups": f"""with recursive {_VER}, link as materialized (select a, b from ver union select b, a from ver),
 reach(node, root) as (select distinct a, a from link union select l.b, r.root from reach r join link l on r.node = l.a where r.root < l.b)
 select node as doc, min(root) as "group" from reach group by node""",
     "km_assign": f"with {_KM} select id, centre, round(distance2, 6) as distance2 from near",
     "km_inertia": f"with {_KM} select count(*) as n, round(sum(distance2), 4) as inertia from near",
+    "km_silhouette": f"""with {_KM}, pair as (
+  select a.id, a.centre as own, b.centre, sum(list_sum(list_transform(list_zip(p.v, q.v), lambda z: (z[1] - z[2]) * (z[1] - z[2])))) as total, count(*) as size
+  from near a join p on p.id = a.id cross join near b join p q on q.id = b.id group by all
+), s as (
+  select id, max(case when centre = own then size end) as size, max(case when centre = own and size > 1 then total / (size - 1) end) as a, min(case when centre <> own then total / size end) as b from pair group by id
+)
+select count(*) as n, round(avg(case when b is null then null when size = 1 or greatest(a, b) = 0 then 0 else (b - a) / greatest(a, b) end), 8) as silhouette from s""",
     "km_purity": f"""with {_KM}, c as (select centre, label, count(*) as n from near group by 1, 2), b as (select centre, max(n) as best, sum(n) as n from c group by 1)
 select cast(sum(n) as bigint) as n, round(sum(best) / sum(n), 8) as purity from b""",
 }

@@ -1,4 +1,5 @@
 import hashlib
+import random
 import re
 
 import numpy as np
@@ -7,6 +8,7 @@ from pyspark.sql import functions as F
 
 from lakeloom.functions.text import normalise, tokens
 from lakeloom.operators import documents as D
+from lakeloom.plans import documents as P
 
 TEXTS = [(1, "The cat sat on the mat today."), (2, "the CAT sat, on the mat today"), (3, "A dog ran off with a bone"), (4, ""), (5, None), (6, "one two"), (7, "The cat sat on the mat yesterday")]
 
@@ -36,21 +38,61 @@ def test_shingles(docs):
 
 
 def test_minhash_and_groups(docs):
-    sh = D.shingles(docs, 2)
-    sig = D.minhash(sh, 4)
+    sets = D.shingle_sets(docs, 2)
+    sig = D.minhash(docs, 6, 2)
     got = {r.doc: list(r.signature) for r in sig.collect()}
     own = {" ".join(words(TEXTS[0][1])[k : k + 2]) for k in range(6)}
-    assert got[1] == [min(int(hashlib.md5(f"{i}:{s}".encode()).hexdigest()[:12], 16) for s in own) for i in range(4)]
-    assert got[1] == got[2]
-    same = sig.repartition(7).groupBy().count()  # row order and partitions don't matter
-    assert same.first()[0] == len(got) and {r.doc: list(r.signature) for r in D.minhash(sh.repartition(5), 4).collect()} == got
-    pairs = D.candidates(sig, 4, 1)
+    numbers = [int(hashlib.md5(s.encode()).hexdigest()[:8], 16) % (2**31 - 1) for s in own]
+    assert got[1] == [min((a * x + b) % (2**31 - 1) for x in numbers) for a, b in D.hash_parameters(6)]
+    assert got[1] == got[2] and set(got) == {1, 2, 3, 6, 7}
+    pairs = D.candidates(sig, 6, 1)
     assert (1, 2) in {tuple(r) for r in pairs.collect()}
-    checked = {(r.a, r.b): r.jaccard for r in D.verify(pairs, sh, 0.5).collect()}
+    checked = {(r.a, r.b): r.jaccard for r in D.verify(pairs, sets, 0.5).collect()}
     assert checked[1, 2] == 1.0
     if (1, 7) in checked:
         assert checked[1, 7] == pytest.approx(5 / 7)
-    assert {r.doc: r.group for r in D.groups(D.verify(pairs, sh, 0.5)).collect()}[2] == 1
+    assert {r.doc: r.group for r in D.groups(D.verify(pairs, sets, 0.5)).collect()}[2] == 1
+
+
+def test_groups_of_the_registered_bands_equal_brute_force(spark):
+    """Chains of texts around a similarity of 0.5: the bands lose next to none of the links."""
+    rnd = random.Random(4)
+    texts = []
+    for g in range(12):
+        own = [f"g{g}w{k}" for k in range(60)]
+        for _ in range(6):
+            own = [f"x{rnd.random()}" if rnd.random() < 0.05 else w for w in own]
+            texts.append(" ".join(own))
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string")
+    pairs = D.verify(D.candidates(D.minhash(df, P.HASHES, P.WIDTH), P.BANDS, P.HASHES // P.BANDS), D.shingle_sets(df, P.WIDTH), P.THRESHOLD)
+    found = {(r.a, r.b) for r in pairs.collect()}
+    sets = [{tuple(w[k : k + 3]) for k in range(len(w) - 2)} for w in (words(t) for t in texts)]
+    want = {(a, b) for a in range(len(texts)) for b in range(a + 1, len(texts)) if len(sets[a] & sets[b]) >= 0.5 * len(sets[a] | sets[b])}
+    first = {b: next(a for a in range(b + 1) if sets[a] == sets[b]) for b in range(len(texts))}  # a copy is tied to the first of its kind
+    single = {(a, b) for a, b in want if first[a] == a and first[b] in (a, b)}
+    assert found <= want and len(found & single) >= 0.98 * len(single) > 50
+    root = list(range(len(texts)))
+    for _ in texts:
+        for a, b in want:
+            root[a] = root[b] = min(root[a], root[b])
+    got = {r.doc: r.group for r in D.groups(pairs).collect()}
+    assert [got.get(i, i) for i in range(len(texts))] == root
+
+
+def test_silhouette(spark):
+    points = np.random.default_rng(2).standard_normal((50, 3))
+    centre = np.array([min(i % 4, 2) for i in range(49)] + [9])
+    df = spark.createDataFrame([(i, [float(x) for x in p]) for i, p in enumerate(points)], "id int, v array<double>")
+    assigned = spark.createDataFrame([(i, int(c)) for i, c in enumerate(centre)], "id int, centre int")
+    d = ((points[:, None] - points[None]) ** 2).sum(-1)
+    scores = []
+    for i, c in enumerate(centre):
+        own = (centre == c) & (np.arange(50) != i)
+        b = min(d[i, centre == k].mean() for k in set(centre.tolist()) - {c})
+        scores.append((b - d[i, own].mean()) / max(b, d[i, own].mean()) if own.any() else 0.0)
+    got = D.silhouette(df, assigned).first()
+    assert got.n == 50 and got.silhouette == pytest.approx(np.mean(scores))
+    assert D.silhouette(df, assigned.withColumn("centre", F.lit(1))).first().silhouette is None
 
 
 def test_assign_and_purity(spark):
@@ -72,6 +114,6 @@ def test_kmeans_inertia_never_rises(spark):
 
 
 def test_signature_vectors(docs):
-    rows = D.signature_vectors(D.minhash(D.shingles(docs, 2), 4)).collect()
+    rows = D.signature_vectors(D.minhash(docs, 4, 2)).collect()
     by = {r.doc: r.features for r in rows}
-    assert by[1].squared_distance(by[2]) == 0 and by[1].squared_distance(by[3]) >= 6
+    assert by[1].squared_distance(by[2]) == 0 and by[1].squared_distance(by[3]) >= 4
