@@ -26,11 +26,31 @@ def cap_per_user(x: DataFrame, cap: int) -> DataFrame:
     return x.withColumn("r", r).where(F.col("r") <= cap).drop("r")
 
 
+#: Items of a user that meet in one task; larger baskets are dealt to pairs of blocks.
+BASKET = 1024
+
+
 def _pairs(x: DataFrame, *values: str) -> DataFrame:
-    """Pairs of items i < j of the same user."""
-    a = x.select("user", F.col("item").alias("i"), *(F.col(v).alias(f"a_{v}") for v in values))
-    b = x.select("user", F.col("item").alias("j"), *(F.col(v).alias(f"b_{v}") for v in values))
-    return a.join(b, "user").where("i < j")
+    """Pairs of items i < j of the same user.
+
+    The items of a heavy user are dealt to blocks, and each pair of blocks is a
+    key of its own: no pair is lost, no task holds more than two blocks.
+    """
+
+    def meet(rows: DataFrame, keys: list[str], apart) -> DataFrame:
+        extra = [k for k in keys if k != "user"] + (["own"] if "own" in rows.columns else [])
+        a = rows.select("user", *(F.col(k).alias(k if k in keys else f"a_{k}") for k in extra), F.col("item").alias("i"), *(F.col(v).alias(f"a_{v}") for v in values))
+        b = rows.select("user", *(F.col(k).alias(k if k in keys else f"b_{k}") for k in extra), F.col("item").alias("j"), *(F.col(v).alias(f"b_{v}") for v in values))
+        return a.join(b, keys).where(F.col("i") < F.col("j")).where(apart).select("i", "j", *(f"{s}_{v}" for s in "ab" for v in values))
+
+    heavy = x.groupBy("user").agg(F.ceil(F.count(F.lit(1)) / BASKET).cast("int").alias("_blocks")).where(F.col("_blocks") > 1)
+    if heavy.isEmpty():
+        return meet(x, ["user"], F.lit(True))
+    light = meet(x.join(heavy, "user", "left_anti"), ["user"], F.lit(True))
+    rows = x.join(heavy, "user").withColumn("own", F.pmod(F.xxhash64("item"), F.col("_blocks")).cast("int"))
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1))).withColumns({"low": F.least("own", "other"), "high": F.greatest("own", "other")})
+    # two items of one block meet where both blocks of the key are theirs
+    return light.unionByName(meet(rows, ["user", "low", "high"], (F.col("low") == F.col("high")) | (F.col("a_own") != F.col("b_own"))))
 
 
 def cooccur(x: DataFrame, min_support: int = 1) -> DataFrame:
@@ -82,10 +102,13 @@ def predict(x: DataFrame, nb: DataFrame) -> DataFrame:
     return scored.groupBy("user", F.col("target").alias("item")).agg(F.when(weight > 0, F.sum(F.col("similarity") * F.col("rating")) / weight).alias("prediction"))
 
 
-def recommend(x: DataFrame, nb: DataFrame, n: int) -> DataFrame:
-    """user, item, prediction, rank: the n best items that the user has not had, ties to the smaller id."""
+def recommend(x: DataFrame, nb: DataFrame, n: int, digits: int = 8) -> DataFrame:
+    """user, item, prediction, rank: the n best items that the user has not had, ties to the smaller id.
+
+    Predictions that agree in ``digits`` decimals tie, so that the order of sums does not matter.
+    """
     unseen = predict(x, nb).where("prediction is not null").join(x.select("user", "item"), ["user", "item"], "left_anti")
-    rank = F.row_number().over(W.partitionBy("user").orderBy(F.desc("prediction"), "item"))
+    rank = F.row_number().over(W.partitionBy("user").orderBy(F.desc(F.round("prediction", digits)), "item"))
     return unseen.withColumn("rank", rank).where(F.col("rank") <= n)
 
 

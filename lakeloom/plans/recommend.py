@@ -68,8 +68,7 @@ def cf_predict(spark, d):
 
 def cf_recommend(spark, d):
     x = _x(spark, d)
-    best = R.recommend(x, _nb(spark, d), N)
-    return best.groupBy("user").agg(F.count(F.lit(1)).alias("n"), F.round(F.max("prediction"), 6).alias("best"), F.round(F.min("prediction"), 6).alias("worst"))
+    return _round(R.recommend(x, _nb(spark, d), N), "prediction", digits=6)
 
 
 def _split(x: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -86,7 +85,7 @@ def cf_rmse(spark, d):
 def cf_precision_recall(spark, d):
     train, test = _split(_x(spark, d))
     nb = R.neighbours(_round(R.similarity(train, "cosine", SUPPORT), "similarity"), K)
-    ranked = R.recommend(train, nb.withColumn("similarity", F.lit(1.0)), N)
+    ranked = R.recommend(train, nb, N)
     return _round(R.precision_recall(ranked, test, N), "precision", "recall")
 
 
@@ -139,13 +138,13 @@ from s where support * saa - sa * sa > 0 and support * sbb - sb * sb > 0""",
     "cf_predict": _TOP + f', {_PREDICT.format(x="x")} select "user", item, round(prediction, 6) as prediction from predicted',
     "cf_recommend": _TOP
     + f""", {_PREDICT.format(x="x")}, ranked as (
-  select p.*, row_number() over (partition by p."user" order by prediction desc, p.item) as r from predicted p
+  select p.*, cast(row_number() over (partition by p."user" order by round(prediction, 8) desc, p.item) as integer) as rank from predicted p
   where prediction is not null and not exists (select 1 from x where x."user" = p."user" and x.item = p.item))
-select "user", count(*) as n, round(max(prediction), 6) as best, round(min(prediction), 6) as worst from ranked where r <= 10 group by 1""",
+select "user", item, round(prediction, 6) as prediction, rank from ranked where rank <= 10""",
     "cf_rmse": f"""with {_X}, {_SPLIT}, {_COSINE.format(x='train')}, {_NB}, {_PREDICT.format(x='train')}
 select count(*) as n, round(sqrt(avg((p.prediction - t.rating) * (p.prediction - t.rating))), 6) as rmse from test t join predicted p on t."user" = p."user" and t.item = p.item where p.prediction is not null""",
-    "cf_precision_recall": f"""with {_X}, {_SPLIT}, {_COSINE.format(x='train')}, {_NB.replace('select * from (', 'select item, neighbour, cast(1 as double) as similarity from (')}, {_PREDICT.format(x='train')}, ranked as (
-  select p.*, row_number() over (partition by p."user" order by prediction desc, p.item) as r from predicted p
+    "cf_precision_recall": f"""with {_X}, {_SPLIT}, {_COSINE.format(x='train')}, {_NB}, {_PREDICT.format(x='train')}, ranked as (
+  select p.*, row_number() over (partition by p."user" order by round(prediction, 8) desc, p.item) as r from predicted p
   where prediction is not null and not exists (select 1 from train x where x."user" = p."user" and x.item = p.item)),
 hits as (select r."user", count(*) as hits from ranked r join test t on r."user" = t."user" and r.item = t.item where r.r <= 10 group by 1),
 own as (select "user", count(*) as own from test group by 1)
