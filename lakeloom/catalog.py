@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from lakeloom.plans import classify, documents, graph, recommend, timeseries
+from lakeloom.plans import classify, documents, graph, recommend, tables, timeseries
 
-_ALL = (recommend, graph, timeseries, documents, classify)
+_ALL = (recommend, graph, timeseries, documents, classify, tables)
 QUERIES: dict = {name: f for m in _ALL for name, f in m.QUERIES.items()}
 ORACLES: dict = {name: sql for m in _ALL for name, sql in m.ORACLES.items()}

@@ -25,12 +25,11 @@ def _labelled(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
 
 
 def text_tokens(spark, d):
-    own = tokens("text")
-    return table(spark, d, "documents").select("doc_id", F.size(own).cast("long").alias("n"), F.size(F.array_distinct(own)).cast("long").alias("n_distinct"))
+    return table(spark, d, "documents").select("doc_id", F.posexplode(tokens("text")).alias("position", "token"))
 
 
 def text_tf(spark, d):
-    return _tf(spark, d).groupBy("token").agg(F.sum("tf").alias("n"), F.max("tf").alias("most"))
+    return _tf(spark, d)
 
 
 def text_idf(spark, d):
@@ -39,7 +38,7 @@ def text_idf(spark, d):
 
 def text_tfidf(spark, d):
     rows = C.tfidf(_tf(spark, d), table(spark, d, "documents").count())
-    return rows.groupBy("doc").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("tfidf"), 4).alias("total"), F.round(F.max("tfidf"), 6).alias("most"))
+    return rows.select("doc", "token", F.round("tfidf", 8).alias("tfidf"))
 
 
 def text_hashed(spark, d):
@@ -48,7 +47,7 @@ def text_hashed(spark, d):
 
     docs = table(spark, d, "documents").where("text is not null")
     done = Pipeline(stages=C.text_features("text")).fit(docs).transform(docs)
-    return done.select("doc_id", F.aggregate(vector_to_array("features"), F.lit(0.0), lambda s, x: s + x).alias("total"))
+    return done.select("doc_id", F.posexplode(vector_to_array("features")).alias("feature", "value")).where("value <> 0")
 
 
 def label_index(spark, d):
@@ -119,11 +118,11 @@ pred as materialized (select k.doc, k.label, case when t.doc is not null then o.
 
 QUERIES = {f.__name__: f for f in (text_tokens, text_tf, text_idf, text_tfidf, text_hashed, label_index, tree_best_split, eval_confusion, eval_confusion_totals, eval_metrics, tree_fit, forest_fit, forest_importance, tree_grid)}
 ORACLES = {
-    "text_tokens": f"with {_TF} select doc as doc_id, cast(coalesce((select sum(tf) from tf where tf.doc = docs.doc), 0) as bigint) as n, (select count(*) from tf where tf.doc = docs.doc) as n_distinct from docs",
-    "text_tf": f"with {_TF} select token, cast(sum(tf) as bigint) as n, max(tf) as most from tf group by 1",
+    "text_tokens": f"with {_TF} select doc as doc_id, unnest(range(0, len(string_split(plain, ' '))))::integer as position, unnest(string_split(plain, ' ')) as token from docs where plain <> ''",
+    "text_tf": f"with {_TF} select doc, token, tf from tf",
     "text_idf": f"with {_TF} select token, count(*) as df, round(ln(((select count(*) from documents) + 1.0::double) / (count(*) + 1.0::double)), 8) as idf from tf group by 1",
     "text_tfidf": f"""with {_TF}, i as (select token, ln(((select count(*) from documents) + 1.0::double) / (count(*) + 1.0::double)) as idf from tf group by 1)
-select doc, count(*) as n, round(sum(tf * idf), 4) as total, round(max(tf * idf), 6) as most from tf join i on tf.token = i.token group by 1""",
+select doc, tf.token, round(tf * idf, 8) as tfidf from tf join i on tf.token = i.token""",
     "label_index": "select lang as label, cast(row_number() over (order by lang) - 1 as integer) as index from (select distinct lang from documents where lang is not null)",
     "tree_best_split": f"with {_SPLIT} select token, n, gini from best",
     "eval_confusion": f"with {_RULE} select label, count(*) filter (where prediction = 0) as predicted_0, count(*) filter (where prediction = 1) as predicted_1 from pred group by 1",

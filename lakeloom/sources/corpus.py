@@ -11,20 +11,20 @@ def read_corpus(spark: SparkSession, path: str) -> DataFrame:
 
     Whole files, one row each. Small files are packed into partitions: Spark
     counts 4 MB for opening each by default, which would give a task to every
-    few dozen files. A filter on split or group is pushed to the file list
-    through the path.
+    few dozen files. The files are read in a session of their own, with the
+    settings of ``spark`` but for that cost, so that it holds when the query
+    runs and no other reader sees it. A filter on split or group is pushed to
+    the file list through the path.
     """
-    before = spark.conf.get("spark.sql.files.openCostInBytes")
-    spark.conf.set("spark.sql.files.openCostInBytes", "4096")
-    try:
-        files = spark.read.text(f"{path}/*/*/*", wholetext=True).select("value", F.col("_metadata.file_path").alias("path"))
-        at = r"([^/]+)/([^/]+)/([^/]+)$"
-        split = F.regexp_extract(F.regexp_extract("path", at, 1), "(train|test)$", 1)
-        out = files.select(split.alias("split"), F.regexp_extract("path", at, 2).alias("group"), F.regexp_extract("path", at, 3).alias("doc"), F.col("value").alias("raw"))
-        out.schema  # planned with the setting above
-        return out
-    finally:
-        spark.conf.set("spark.sql.files.openCostInBytes", before)
+    own = spark.newSession()
+    for key, value in spark.conf.getAll.items():
+        if key.startswith("spark.sql.") and own.conf.isModifiable(key):
+            own.conf.set(key, value)
+    own.conf.set("spark.sql.files.openCostInBytes", "4096")
+    files = own.read.text(f"{path}/*/*/*", wholetext=True).select("value", F.col("_metadata.file_path").alias("path"))
+    at = r"([^/]+)/([^/]+)/([^/]+)$"
+    split = F.regexp_extract(F.regexp_extract("path", at, 1), "(train|test)$", 1)
+    return files.select(split.alias("split"), F.regexp_extract("path", at, 2).alias("group"), F.regexp_extract("path", at, 3).alias("doc"), F.col("value").alias("raw"))
 
 
 def parse_message(df: DataFrame, strip_quotes: bool = False, strip_signature: bool = False, raw: str = "raw") -> DataFrame:
