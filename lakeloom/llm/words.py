@@ -5,9 +5,12 @@ A word is a run of bytes other than space and 0x09 to 0x0D, taken unchanged.
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator
+import ctypes
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 U64 = np.uint64
 _SPACE = np.zeros(256, bool)
@@ -157,3 +160,34 @@ def batches(rows: Iterator, size: int = 2 << 20) -> Iterator[list]:
             held, total = [], 0
     if held:
         yield held
+
+
+def slices(batch: pa.RecordBatch, column: str, size: int = 1 << 20) -> Iterator[pa.RecordBatch]:
+    """Slices of a batch with about ``size`` bytes of a text or binary column each, a row at least."""
+    if not batch.num_rows:
+        return
+    length = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64) + 64
+    part = (np.cumsum(length) - length) // size
+    cuts = np.flatnonzero(np.diff(part)) + 1
+    for s, e in zip([0, *cuts.tolist()], [*cuts.tolist(), batch.num_rows]):
+        yield batch.slice(s, e - s)
+
+
+def give_back() -> None:
+    """Return freed memory to the system."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
+def tidy(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """``run``, with the memory that a task freed given back at its end: workers live on between stages."""
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            give_back()
+
+    return task
