@@ -1,8 +1,9 @@
 """WARC archives: a deterministic sharded writer and a reader.
 
-Writer: records are dealt by ranges of their id into shards of about equal
-size and sorted in them. A task writes its shards one after the other, one
-gzip member a record, and rolls to a new file by compressed size. Headers and
+Writer: records are dealt by ranges of their id into shards of a bounded size
+and sorted in them; a range that is too large is divided further, one id by
+its digests. A task writes a shard, one gzip member a record, and rolls to a
+new file by compressed size. Headers and
 digests are made anew; of equal long payloads one record is a response and the
 others revisit it. Files get temporary names that no other attempt shares; the
 attempt that counts is the one whose rows are in the manifest, and only its
@@ -19,6 +20,7 @@ import hashlib
 import uuid
 import zlib
 from collections.abc import Iterator
+from decimal import Decimal
 from urllib.parse import quote
 
 import pyarrow as pa
@@ -26,11 +28,12 @@ from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lakeloom.session import n_partitions
+from lakeloom.llm import words
+from lakeloom.session import cut, n_partitions, remove
 
 _SPACE = uuid.UUID("6ba7b811-9dad-11d1-80b4-00c04fd430c8")  # RFC 4122, names that are URLs
 _PROFILE = "http://netpreserve.org/warc/1.0/revisit/identical-payload-digest"
-#: Ranges of ids whose sizes are counted to place the shards; bounds what the driver gets.
+#: Ranges of ids whose sizes are counted first to place the shards.
 _BINS = 1 << 14
 _MANIFEST = "shard int, number int, name string, temporary string, records long, bytes long, sha1 string"
 
@@ -140,24 +143,80 @@ def _batch(rows: list[tuple], names: list[str], kinds: list) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows) if rows else [[]] * len(kinds), kinds)], names=names)
 
 
-def _place(small: DataFrame, shard_bytes: int) -> tuple[DataFrame, int, int, int]:
-    """bin, first, n: the shards of each bin of ids; the least id, the width of a bin and the number of shards."""
+#: Shards at most; beyond that they hold more bytes each.
+SHARDS = 1 << 16
+
+
+def _bin(value, low, width):
+    """Number of a value's range from 0; decimal, so that ids may span all 64 bits."""
+    return F.floor((value.cast("decimal(20,0)") - low) / width).cast("int")
+
+
+def _place(small: DataFrame, shard_bytes: int) -> tuple[list[DataFrame], int]:
+    """Ranges of (page, digest) of about ``shard_bytes``, as steps of a search; the number of shards.
+
+    small: page, mark (the digest's first 32 bits), size. A step has the ranges
+    (node, bin) with their shard, or for a range of over a shard's bytes the
+    node that divides it further: by page, and where a range is one page by
+    mark. Ranges depend on the rows alone. The driver sees a row for each range
+    of the first step and at most 16 for each shard's worth of bytes after it.
+    """
     spark = small.sparkSession
-    low, high = small.agg(F.min("page"), F.max("page")).first()
-    low, width = (0, 1) if low is None else (low, -(-(high - low + 1) // _BINS))
-    bin_of = F.coalesce(F.floor((F.col("page") - F.lit(low)) / F.lit(width)), F.lit(-1)).cast("int")
-    sizes = small.groupBy(bin_of.alias("bin")).agg(F.sum("size").alias("size")).collect()  # _BINS + 1 rows at most
-    rows, shard, held = [], 0, 0
-    for b, size in sorted((r.bin, r.size) for r in sizes):
-        n = -(-size // shard_bytes)
-        if n > 1 or held + size > shard_bytes:
-            shard, held = shard + bool(held), 0
-        rows.append((b, shard, max(1, n)))
-        if n > 1:
-            shard += n
-        else:
-            held += max(1, size)
-    return spark.createDataFrame(rows, "bin int, first int, n int") if rows else spark.createDataFrame([], "bin int, first int, n int"), low, width, shard + bool(held)
+    whole = small.agg(F.sum("size"), F.min("page"), F.max("page")).first()
+    shard_bytes = max(shard_bytes, -(-(whole[0] or 0) // SHARDS))
+    # node: (by mark, low, width); path: its place in the order of all ranges
+    low, high = (0, 0) if whole[1] is None else whole[1:]
+    nodes = [(0, 0, low, -(-(high - low + 1) // _BINS), ())]
+    leaves, steps, count = [], [], 1
+    while nodes:
+        table = spark.createDataFrame([(n, m, Decimal(lo), Decimal(w)) for n, m, lo, w, _ in nodes], "node int, by_mark int, low decimal(20,0), width decimal(20,0)")
+        paths = {n: (m, path) for n, m, _, _, path in nodes}
+        small = small.withColumn("node", F.lit(0)) if not steps else small
+        small = small.join(F.broadcast(table), "node")
+        value = F.when(F.col("by_mark") == 1, F.col("mark")).otherwise(F.col("page"))
+        small = small.withColumn("bin", F.coalesce(_bin(value, F.col("low"), F.col("width")), F.lit(-1)))
+        found = small.groupBy("node", "bin").agg(F.sum("size").alias("size"), F.min("page").alias("a"), F.max("page").alias("b"), F.min("mark").alias("c"), F.max("mark").alias("d")).collect()
+        nodes, deeper = [], []
+        for r in found:
+            by_mark, path = paths[r.node]
+            path = (*path, r.bin)
+            one_page = by_mark or r.a == r.b
+            if r["size"] > shard_bytes and (r.c != r.d if one_page else True):
+                lo, hi = (r.c, r.d) if one_page else (r.a, r.b)
+                nodes.append((count, int(bool(one_page)), lo, -(-(hi - lo + 1) // 16), path))
+                deeper.append((r.node, r.bin, count))
+                count += 1
+            else:
+                leaves.append((path, len(steps), r.node, r.bin, r["size"]))
+        steps.append((table, deeper))
+        if nodes:
+            down = spark.createDataFrame(deeper, "node int, bin int, child int")
+            small = cut(small.join(F.broadcast(down), ["node", "bin"]).select(F.col("child").alias("node"), "page", "mark", "size"))
+    shard, held, shards = 0, 0, {}
+    for path, step, node, number, size in sorted(leaves):
+        if held and held + size > shard_bytes:
+            shard, held = shard + 1, 0
+        shards[step, node, number] = shard
+        held += max(1, size)
+    out = []
+    for i, (table, deeper) in enumerate(steps):
+        rows = [(n, b, s, None) for (step, n, b), s in shards.items() if step == i] + [(n, b, None, c) for n, b, c in deeper]
+        out.append(table.join(spark.createDataFrame(rows, "node int, bin int, shard int, child int"), "node"))
+    return out, shard + bool(held)
+
+
+def _dealt(rows: DataFrame, steps: list[DataFrame]) -> DataFrame:
+    """rows (page, mark, ..) with their shard: a bounded broadcast for each step of the search."""
+    names = rows.columns
+    rows = rows.withColumns({"_node": F.lit(0), "_shard": F.lit(None).cast("int")})
+    for step in steps:
+        nodes = step.select(F.col("node").alias("_node"), "by_mark", "low", "width").distinct()
+        value = F.when(F.col("by_mark") == 1, F.col("mark")).otherwise(F.col("page"))
+        number = F.when(F.col("by_mark").isNotNull(), F.coalesce(_bin(value, F.col("low"), F.col("width")), F.lit(-1)))
+        rows = rows.join(F.broadcast(nodes), "_node", "left").withColumn("_bin", number).drop("by_mark", "low", "width")
+        ends = step.select(F.col("node").alias("_node"), F.col("bin").alias("_bin"), F.col("shard").alias("_here"), "child")
+        rows = rows.join(F.broadcast(ends), ["_node", "_bin"], "left").select(*names, F.col("child").alias("_node"), F.coalesce("_shard", "_here").alias("_shard"))
+    return rows.select(*names, F.col("_shard").alias("shard"))
 
 
 def write_archives(df: DataFrame, folder: str, shard_bytes: int = 32 << 20, roll_bytes: int = 8 << 20, revisit_from: int = 1000, date: str = "1970-01-01T00:00:00Z", id_col: str = "page_id", url_col: str = "url", body_col: str = "html") -> str:
@@ -172,27 +231,23 @@ def write_archives(df: DataFrame, folder: str, shard_bytes: int = 32 << 20, roll
     spark = df.sparkSession
     body = F.coalesce(F.col(body_col).cast("binary"), F.lit(b""))
     rows = df.select(F.col(id_col).cast("long").alias("page"), F.col(url_col).cast("string").alias("url"), body.alias("body"))
-    rows = rows.withColumns({"digest": F.sha1("body"), "size": F.octet_length("body").cast("long")})
-    small = rows.select("page", "digest", "size")
-    bins, low, width, n_shards = _place(small, shard_bytes)
-    bin_of = F.coalesce(F.floor((F.col("page") - F.lit(low)) / F.lit(width)), F.lit(-1)).cast("int")
-
-    def dealt(x: DataFrame) -> DataFrame:
-        at = F.col("first") + F.pmod(F.xxhash64("page", "digest"), F.col("n")).cast("int")
-        return x.withColumn("bin", bin_of).join(F.broadcast(bins), "bin").withColumn("shard", at).drop("bin", "first", "n")
-
-    groups = small.where(F.col("size") >= revisit_from).groupBy("digest").agg(F.max("page").alias("first_page"), F.count(F.lit(1)).alias("copies")).where(F.col("copies") > 1).drop("copies")
-    revisits = small.join(groups, "digest").where(F.col("first_page").isNotNull() & ~F.col("page").eqNullSafe(F.col("first_page"))).distinct()
-    marks = dealt(revisits).select("shard", "page", "digest", F.lit(0).alias("kind"), F.lit(None).cast("string").alias("url"), F.lit(None).cast("binary").alias("body"), "first_page")
-    records = dealt(rows).select("shard", "page", "digest", F.lit(1).alias("kind"), "url", "body", F.lit(None).cast("long").alias("first_page"))
-    parts = max(1, min(n_shards, n_partitions(spark)))
-    stream = marks.unionByName(records).repartition(parts, "shard").sortWithinPartitions("shard", "page", "digest", "kind", "url")
+    rows = rows.withColumns({"digest": F.sha1("body"), "size": F.octet_length("body").cast("long") + 200})
+    rows = rows.withColumn("mark", F.conv(F.substring("digest", 1, 8), 16, 10).cast("long"))
+    small = rows.select("page", "digest", "mark", "size")
+    steps, n_shards = _place(small.select("page", "mark", "size"), shard_bytes)
+
+    groups = small.where(F.col("size") >= revisit_from + 200).groupBy("digest").agg(F.max("page").alias("first_page"), F.count(F.lit(1)).alias("copies")).where(F.col("copies") > 1).drop("copies")
+    revisits = small.join(groups, "digest").where(F.col("first_page").isNotNull() & ~F.col("page").eqNullSafe(F.col("first_page"))).select("page", "mark", "digest", "first_page").distinct()
+    none = F.lit(None)
+    marks = revisits.select("page", "mark", "digest", F.lit(0).alias("kind"), none.cast("string").alias("url"), none.cast("binary").alias("body"), "first_page")
+    records = rows.select("page", "mark", "digest", F.lit(1).alias("kind"), "url", "body", none.cast("long").alias("first_page"))
+    # a task for each shard: none is split, none meets another by chance
+    stream = _dealt(marks.unionByName(records), steps).repartitionById(max(1, n_shards), F.col("shard")).sortWithinPartitions("shard", "page", "digest", "kind", "url")
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own, key, first = _Writer(folder, roll_bytes), None, None
         for b in batches:
-            for i in range(0, b.num_rows, 256):
-                part = b.slice(i, 256)
+            for part in words.slices(b, "body"):
                 for shard, page, digest, kind, url, body, at in zip(*(part.column(c).to_pylist() for c in ("shard", "page", "digest", "kind", "url", "body", "first_page"))):
                     if (page, digest) != key:
                         key, first = (page, digest), None
@@ -204,7 +259,15 @@ def write_archives(df: DataFrame, folder: str, shard_bytes: int = 32 << 20, roll
         yield _batch(own.made, ["shard", "number", "name", "temporary", "records", "bytes", "sha1"], [pa.int32(), pa.int32(), pa.string(), pa.string(), pa.int64(), pa.int64(), pa.string()])
 
     manifest = f"{folder.rstrip('/')}/manifest"
-    stream.mapInArrow(write, _MANIFEST).write.mode("overwrite").parquet(manifest)
+    stream.mapInArrow(words.tidy(write), _MANIFEST).write.mode("overwrite").parquet(manifest)
+
+    commit_files(spark, folder)
+    return manifest
+
+
+def commit_files(spark: SparkSession, folder: str) -> None:
+    """Give the files of the manifest their names; it can be done again at any time."""
+    folder = folder.rstrip("/")
 
     def commit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         files, root = _open(folder)
@@ -217,8 +280,8 @@ def write_archives(df: DataFrame, folder: str, shard_bytes: int = 32 << 20, roll
                     raise FileNotFoundError(name)
             yield b.select(["name"])
 
-    spark.read.parquet(manifest).select("name", "temporary").mapInArrow(commit, "name string").write.mode("overwrite").parquet(f"{folder.rstrip('/')}/committed")
-    return manifest
+    spark.read.parquet(f"{folder}/manifest").select("name", "temporary").mapInArrow(commit, "name string").write.mode("overwrite").parquet(f"{folder}/committed")
+    remove(spark, f"{folder}/_temporary")  # what lost attempts left
 
 
 def read_archives(spark: SparkSession, folder: str) -> DataFrame:
@@ -256,4 +319,4 @@ def read_archives(spark: SparkSession, folder: str) -> DataFrame:
                             out, held = [], 0
         yield _batch(out, columns, kinds)
 
-    return names.mapInArrow(read, "page_id long, url string, record_type string, refers_to long, payload_bytes long, payload_digest string, record_id string, payload binary")
+    return names.mapInArrow(words.tidy(read), "page_id long, url string, record_type string, refers_to long, payload_bytes long, payload_digest string, record_id string, payload binary")
