@@ -58,6 +58,16 @@ EQUIVALENT = {
     "wilful": "willful",
 }
 
+# Spellings of several words in canonical form, and the one they become here.
+PHRASES = {
+    "copyright owner": "copyright holder",
+    "copyright owners": "copyright holders",
+    "per cent": "percent",
+    "sub license": "sublicense",
+    "sub licensing": "sublicensing",
+    "sub licensed": "sublicensed",
+}
+
 # Short licence texts and notices, by identifier.
 KNOWN = {
     "MIT": """Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:
@@ -113,7 +123,13 @@ def canonical(text: Column) -> Column:
         words = F.transform(F.split(form, " "), lambda w: F.coalesce(F.create_map(*pairs)[w], w))
         return F.when(form.rlike(_SPELLING), F.array_join(words, " ")).otherwise(form)
 
-    return bound(F.lower(text), lambda low: bound(plain(low), spelled))
+    def phrased(form: Column) -> Column:
+        done = form
+        for a, b in PHRASES.items():
+            done = F.regexp_replace(done, f"(^| ){a}( |$)", f"$1{b}$2")
+        return F.when(form.rlike("(^| )(copyright owner|per cent|sub licens)"), done).otherwise(form)
+
+    return bound(F.lower(text), lambda low: bound(bound(plain(low), spelled), phrased))
 
 
 def looked_up(form: Column) -> Column:
@@ -172,22 +188,47 @@ def license_scan(df: DataFrame, known: dict[str, str] | list[tuple[str, str]] |
 
 
 def _sql_form(x: str) -> str:
-    """The canonical form in DuckDB's SQL."""
-    low = f"regexp_replace(lower({x}), '(?m)^[ \\t]*(copyright|\\(c\\)|©).*$', '', 'g')"
+    """The canonical form in DuckDB's SQL, whose patterns know no lookahead."""
+    start = r"^[ \t]*"
+    notice = " or ".join(
+        [
+            f"regexp_matches(l, '{start}©')",
+            rf"(regexp_matches(l, '{start}\(c\)') and (regexp_matches(l, '{start}\(c\)[ \t]*(©|copyright\b)') or regexp_matches(l, '{start}\(c\).*\b(19|20)\d\d\b') or regexp_matches(l, '{start}\(c\).*all rights reserved')))",
+            rf"(regexp_matches(l, '{start}copyright[ \t:(©]') and not regexp_matches(l, '{start}copyright[ \t:]*(\r?$|\(([^c©]|c([^)]|$)|$)|[,;.)]|{_BODY})'))",
+        ]
+    )
+    low = f"array_to_string(list_transform(string_split(lower({x}), chr(10)), lambda l: case when {notice} then '' else l end), chr(10))"
     plain = f"trim(regexp_replace({low}, '[^\\p{{L}}\\p{{N}}]+', ' ', 'g'))"
     names = ", ".join(f"'{a}'" for a in EQUIVALENT)
     values = ", ".join(f"'{b}'" for b in EQUIVALENT.values())
-    return f"array_to_string(list_transform(string_split({plain}, ' '), lambda w: coalesce(map([{names}], [{values}])[w], w)), ' ')"
+    form = f"array_to_string(list_transform(string_split({plain}, ' '), lambda w: coalesce(map([{names}], [{values}])[w], w)), ' ')"
+    for a, b in PHRASES.items():
+        form = f"regexp_replace({form}, '(^| ){a}( |$)', '\\1{b}\\2', 'g')"
+    return form
+
+
+def _sql_looked_up(form: str) -> str:
+    """What of the canonical form is looked up, in DuckDB's SQL."""
+    body = f"regexp_replace({form}, '{_TITLE}', '')"
+    open_fields = body
+    for pattern, text in _HOLDERS.items():
+        open_fields = f"regexp_replace({open_fields}, '{pattern}', '{text.replace('$', chr(92))}', 'g')"
+    return f"case when length({form}) <= {_SHORT} then {form} when starts_with({body}, 'redistribution and use in source and binary forms') then {open_fields} else {body} end"
 
 
 def _quoted(s: str) -> str:
     return "'" + s.replace("'", "''") + "'"
 
 
-LICENSE_SQL = f"""
-with k as (select license, md5({_sql_form('text')}) as digest from (values {", ".join(f"({_quoted(a)}, {_quoted(b)})" for a, b in KNOWN.items())}) v(license, text)),
-l as (select distinct doc_id, md5({_sql_form('line')}) as digest from (select doc_id, unnest(string_split(text, chr(10))) as line from documents where text is not null)),
+def license_sql() -> str:
+    """The scan with the texts of ``library`` as SQL for DuckDB."""
+    known = ", ".join(f"({_quoted(a)}, {_quoted(b)})" for a, b in library())
+    return f"""
+with f as materialized (select license, {_sql_form('text')} as form from (values {known}) v(license, text)),
+k as materialized (select md5({_sql_looked_up('form')}) as digest, min(license) as license from f where form <> '' group by 1),
+l as materialized (select distinct doc_id, md5({_sql_form('line')}) as digest from (select doc_id, unnest(string_split(text, chr(10))) as line from documents where text is not null)),
 n as (select l.doc_id, list_sort(list(distinct k.license)) as found from l join k on l.digest = k.digest group by 1),
-w as (select doc_id, case when text is not null then md5({_sql_form('text')}) end as digest from documents)
-select w.doc_id, w.digest, k.license, coalesce(array_to_string(n.found, ','), '') as notices from w left join k on w.digest = k.digest left join n on w.doc_id = n.doc_id
+w as materialized (select doc_id, {_sql_form('text')} as form from documents)
+select w.doc_id, case when form is not null then md5(form) end as digest, k.license, coalesce(array_to_string(n.found, ','), '') as notices
+from w left join k on md5({_sql_looked_up('form')}) = k.digest left join n on w.doc_id = n.doc_id
 """

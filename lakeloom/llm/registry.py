@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from lakeloom.llm.ann import ann_cosine
 from lakeloom.llm.bpe import encode_decode
 from lakeloom.llm.langid import fit_languages, held_out, identify
-from lakeloom.llm.license_scan import LICENSE_SQL, library, license_scan
+from lakeloom.llm.license_scan import library, license_scan, license_sql
 from lakeloom.llm.line_dedup import LINE_DEDUP_SQL, line_dedup
 from lakeloom.llm.packing import pack_documents
 from lakeloom.llm.simhash import simhash_components
@@ -125,4 +125,4 @@ select p.page_id, p.payload_bytes, p.payload_digest,
 from p left join g on p.payload_digest = g.payload_digest and p.payload_bytes = g.payload_bytes
 """
 
-ORACLES: dict[str, str] = {"op2_license_scan": LICENSE_SQL, "op3_exact_topk": TOPK_SQL, "op5_substring_dedup": SUBSTRING_SQL, "op8_line_dedup": LINE_DEDUP_SQL, "op10_warc": WARC_SQL}
+ORACLES: dict[str, str] = {"op2_license_scan": license_sql(), "op3_exact_topk": TOPK_SQL, "op5_substring_dedup": SUBSTRING_SQL, "op8_line_dedup": LINE_DEDUP_SQL, "op10_warc": WARC_SQL}

@@ -2,7 +2,7 @@ import textwrap
 
 import pytest
 
-from lakeloom.llm.license_scan import KNOWN, library, license_scan
+from lakeloom.llm.license_scan import KNOWN, library, license_scan, license_sql
 
 MIT, NOTICE = KNOWN["MIT"], KNOWN["notice:MIT"]
 
@@ -42,3 +42,21 @@ def test_whole_texts_however_titled_and_wrapped(spark):
     df = spark.createDataFrame([(i, t) for i, (_, t) in enumerate(rows)], "doc_id int, text string")
     got = {r.doc_id: r.license for r in license_scan(df, library()).collect()}
     assert [(i, rows[i][0], got[i], rows[i][1][:60]) for i in got if got[i] != rows[i][0]] == []
+
+
+def test_sql_equals_the_scan_on_licences(spark):
+    """Whole texts at several widths, notices, phrases and copyright lines of all kinds, by the registered SQL."""
+    duckdb = pytest.importorskip("duckdb")
+    pandas = pytest.importorskip("pandas")
+    texts = [text for _, text in library()]
+    texts += ["\n\n".join(textwrap.fill(p, width, break_on_hyphens=False) for p in text.split("\n\n")) for text in texts for width in (60, 77, 100)]
+    lines = ["Copyright (c) 2020 A", "(c) 2001 B", "(C) Copyright C", "(c) You must", "© D", "copyright notice and this", "Copyright: E", "Copyright holders", "copyright, 2020", "  Copyright F, all rights reserved", "copyright (a) g", "copyright (", "(c) all rights reserved"]
+    texts += [f"{x}\n{KNOWN['MIT']}" for x in lines] + [f"{x}\nAll rights reserved." for x in lines]
+    texts += ["The Copyright Owner may sub-license ten per cent per cent.", KNOWN["MIT"].replace("COPYRIGHT HOLDERS", "COPYRIGHT OWNERS").replace("sublicense", "sub-licence"), None, "", "...", NOTICE]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: (r.digest, r.license, ",".join(r.notices)) for r in license_scan(df, library()).collect()}
+    con = duckdb.connect()
+    con.register("documents", pandas.DataFrame({"doc_id": range(len(texts)), "text": pandas.Series(texts, dtype=object)}))
+    want = {r[0]: r[1:] for r in con.execute(license_sql()).fetchall()}
+    assert {i: (got[i], want[i], texts[i]) for i in got if got[i] != want[i]} == {}
+    assert got[len(texts) - 5][1] == "MIT" and sum(x[1] is not None for x in got.values()) > 60
