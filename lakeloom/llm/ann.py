@@ -74,6 +74,12 @@ class KDTree:
                     heapq.heappush(heap, (self.distance(c, q), c))
 
 
+def _scaled(rows: np.ndarray) -> np.ndarray:
+    """Rows divided by powers of two, which changes no cosine and no bit of it, so that squares neither overflow nor vanish."""
+    _, power = np.frexp(np.abs(rows).max(axis=1, initial=0.0))
+    return np.ldexp(rows, -power[:, None])
+
+
 def ann_cosine(df: DataFrame, queries: DataFrame, k: int = 5, dims: int = 8, sure: float = 0.97, seed: int = 7, id_col: str = "vec_id", vector_col: str = "embedding", shard_rows: int = SHARD) -> DataFrame:
     """The k nearest rows found for each query: query_id, rank, vec_id, score (cosine).
 
@@ -88,6 +94,7 @@ def ann_cosine(df: DataFrame, queries: DataFrame, k: int = 5, dims: int = 8, sur
         raise ValueError("dims must be even")
 
     def search(ids, rows, asked, block):
+        rows, block = _scaled(rows), _scaled(block)
         norms = np.sqrt((rows * rows).sum(axis=1))
         ids, rows, norms = ids[norms > 0], rows[norms > 0], norms[norms > 0]
         if not len(ids):

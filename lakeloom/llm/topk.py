@@ -19,10 +19,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from lakeloom.llm import words
 from lakeloom.session import n_partitions
 
-#: Rows of a shard, about.
-SHARD = 8192
+#: Rows of a shard at most, about; a shard is held in one task.
+SHARD = 32768
+#: Rows that are worth a shard of their own while there are fewer shards than the session has partitions.
+SMALL = 2048
 
 Search = Callable[[np.ndarray, np.ndarray, np.ndarray, np.ndarray], Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]]
 
@@ -47,11 +50,12 @@ def search_shards(rows: DataFrame, queries: DataFrame, k: int, search: Search, k
 
     rows, queries: id, v. A query meets the vectors of its own length only and
     never the rows of its own id. Rows that repeat an id count once, with the
-    least of their vectors. Each query is sent to each shard once; a task holds
-    a shard and a block of queries.
+    least of their vectors. Each query is sent to each shard once, so shards are
+    as large as a task can hold; a task holds a shard and a block of queries.
     """
     spark = rows.sparkSession
-    n_shards = max(1, -(-rows.count() // shard_rows))
+    n = rows.count()
+    n_shards = max(1, -(-n // shard_rows), min(n_partitions(spark), n // SMALL))
     parts = max(1, min(n_partitions(spark), n_shards))
     held = rows.select(F.pmod(F.xxhash64("id"), F.lit(n_shards)).cast("int").alias("shard"), F.lit(0).cast("byte").alias("kind"), "id", "v")
     asked = queries.select(F.explode(F.sequence(F.lit(0), F.lit(n_shards - 1))).alias("shard"), F.lit(1).cast("byte").alias("kind"), "id", "v")
@@ -98,7 +102,7 @@ def search_shards(rows: DataFrame, queries: DataFrame, k: int, search: Search, k
                     else:
                         yield from answer(ids[at], block)
 
-    found = dealt.mapInArrow(run, f"query_id long, vec_id long, score {kind}")
+    found = dealt.mapInArrow(words.tidy(run), f"query_id long, vec_id long, score {kind}")
     ranked = found.withColumn("rank", F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")))
     return ranked.where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
@@ -118,6 +122,8 @@ class SortedLists:
 
     def __init__(self, ids: np.ndarray, rows: np.ndarray) -> None:
         self.ids, self.rows = ids, rows
+        #: how far down its lists the last search went
+        self.depth = 0
         self.order = np.argsort(rows, axis=0, kind="stable")  # ascending, by dimension
         self.sorted = np.take_along_axis(rows, self.order, axis=0)
 
@@ -154,6 +160,7 @@ class SortedLists:
             if seen.all():
                 break
             stride *= 2
+        self.depth = depth
         return ids, scores
 
 
@@ -162,7 +169,8 @@ def exact_topk(df: DataFrame, queries: DataFrame, k: int = 5, scale: float = 256
 
     Components become floor(scale * x). Defined cases: vectors that are null,
     empty or hold null or non-finite components take no part, nor do rows with
-    a null id; fewer candidates than k: all of them; ties go to the smaller id;
+    a null id; fewer candidates than k: all of them; a score among the k best
+    that no 64-bit integer holds raises OverflowError; ties go to the smaller id;
     repeated ids count once, with their least vector; an empty table gives an
     empty result; other columns are not looked at.
     """
@@ -179,7 +187,9 @@ def exact_topk(df: DataFrame, queries: DataFrame, k: int = 5, scale: float = 256
             for q, w in zip(asked, block):
                 scores = np.array([int(s) for s in rows @ w], object)
                 order = sorted((i for i in range(len(ids)) if ids[i] != q), key=lambda i: (-scores[i], ids[i]))[:k]
-                yield np.full(len(order), q), ids[order], np.array([int(np.clip(scores[i], -(2**63), 2**63 - 1)) for i in order], np.int64)
+                if any(not -(2**63) <= scores[i] < 2**63 for i in order):
+                    raise OverflowError(f"query {q}: a score beyond 64 bits")
+                yield np.full(len(order), q), ids[order], np.array([scores[i] for i in order], np.int64)
             return
         lists = SortedLists(ids, rows)
         for q, w in zip(asked, block):

@@ -55,7 +55,20 @@ def test_threshold_stops_early():
     lists = topk.SortedLists(np.arange(5000), x)
     ids, scores = lists.search(-1, np.array([1.0, 0.5]), 3)
     want = np.argsort(-(x @ [1.0, 0.5]))[:3]
-    assert ids.tolist() == want.tolist()
+    assert ids.tolist() == want.tolist() and 0 < lists.depth < 2500
+
+
+def test_scores_beyond_64_bits_are_an_error(spark):
+    huge = spark.createDataFrame([(50, [1e14]), (1, [1e14])], "vec_id long, embedding array<double>")
+    with pytest.raises(Exception, match="beyond 64 bits"):
+        topk.exact_topk(huge, huge.where("vec_id = 50")).collect()
+
+
+def test_cosines_of_tiny_and_huge_vectors(spark):
+    rows = [(0, [3e-200, 4e-200]), (1, [4e200, 3e200]), (2, [1.0, 0.0]), (3, [1e-320, 0.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = {r.vec_id: r.score for r in ann.ann_cosine(df, df.where("vec_id = 0")).collect()}
+    assert got == {1: pytest.approx(0.96), 2: pytest.approx(0.6), 3: pytest.approx(0.6)}
 
 
 def test_ann_recall(df, rows):
@@ -112,11 +125,44 @@ def test_archives(spark, tmp_path):
         got = warc.read_archives(spark, folder)
         assert sorted(((r.page_id, r.payload_bytes, r.payload_digest, r.record_type, r.refers_to) for r in got.collect()), key=str) == want(rows)
         files = [f for f in os.listdir(tmp_path / name) if f.endswith(".warc.gz")]
-        assert len(files) > 5 and not os.listdir(tmp_path / name / "_temporary")
+        assert len(files) > 5 and not (tmp_path / name / "_temporary").exists()
         made[name] = {f: (tmp_path / name / f).read_bytes() for f in files}
     assert made["a"] == made["b"]  # whatever the partitions
 
 
+def test_shards_are_ranges_of_bounded_size(spark, tmp_path):
+    """Ids over all 64 bits, most of them in one small range, and one id with many payloads."""
+    rows = [(-(1 << 63), "u", "a"), ((1 << 63) - 1, "u", "b"), (None, "u", "c")] + [(1000 + i, "u", f"p{i} " * 60) for i in range(400)] + [(5, "u", f"q{i} " * 60) for i in range(300)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(3)
+    warc.write_archives(df, f"file://{tmp_path}/w", shard_bytes=20_000, roll_bytes=1 << 20)
+    assert warc.read_archives(spark, f"file://{tmp_path}/w").count() == len(rows)
+    shards = []
+    for name in sorted(f for f in os.listdir(tmp_path / "w") if f.endswith(".warc.gz")):
+        with open(tmp_path / "w" / name, "rb") as f:
+            heads = [warc.parse(m)[0] for m in warc.members(f)]
+        pages = [int(h["X-Page-Id"]) if "X-Page-Id" in h else -(1 << 70) for h in heads]
+        assert pages == sorted(pages) and sum(int(h["X-Payload-Length"]) + 200 for h in heads) <= 20_000
+        shards.append((pages[0], pages[-1]))
+    assert shards == sorted(shards) and all(a[1] <= b[0] for a, b in zip(shards, shards[1:])) and 10 < len(shards) < 60
+
+
+def test_what_lost_attempts_leave(spark, tmp_path):
+    """Files of attempts that never ended, with the same names but for the attempt, are not read and go."""
+    folder = tmp_path / "w"
+    lost = warc._Writer(f"file://{folder}", 1 << 20)
+    lost.write(0, warc.record(1, "u", b"other body", None, "1970-01-01T00:00:00Z"))
+    lost.stream.flush()
+    assert len(os.listdir(folder / "_temporary")) == 1
+    df = spark.createDataFrame([(1, "u", "body")], "page_id long, url string, html string")
+    warc.write_archives(df, f"file://{folder}")
+    assert [bytes(r.payload) for r in warc.read_archives(spark, f"file://{folder}").collect()] == [b"body"]
+    assert not (folder / "_temporary").exists()
+    # a commit that is tried again finds its files in place
+    names = os.listdir(folder)
+    warc.commit_files(spark, f"file://{folder}")
+    assert sorted(os.listdir(folder)) == sorted(names)
+
+
 def test_archive_of_nothing_and_torn_files(spark, tmp_path):
     none = spark.createDataFrame([], "page_id long, url string, html string")
     warc.write_archives(none, f"file://{tmp_path}/none")
