@@ -33,8 +33,10 @@ from lakeloom.llm import words
 from lakeloom.session import n_partitions
 
 _SENT = "bucket int, kind byte, doc long, code long, payload binary"
+#: Buckets of anchors for each task; one is held at a time.
+BUCKETS = 4
 _NULL = np.iinfo(np.int64).min
-_RUN = np.dtype([("doc", "<i8"), ("code", "<i8"), ("anchor", "<u8"), ("at", "<u4"), ("n", "<u2")])
+_RUN = np.dtype([("doc", "<i8"), ("code", "<i8"), ("anchor", "<u8"), ("at", "<u4"), ("n", "<u4")])
 _SPAN = np.dtype([("at", "<u4"), ("n", "<u4")])
 
 
@@ -92,10 +94,12 @@ def _seed(min_words: int, k: int, n_buckets: int):
         out = []
         late = np.flatnonzero(~first)
         if len(late):
+            # dealt by document: by anchor, the marks of a hot passage would all meet in one task
+            deal = words.mix(docs.view(words.U64) ^ words.mix(codes.view(words.U64))) % words.U64(n_buckets)
             cut = np.flatnonzero(np.diff(doc_of[late])) + 1
             for part in np.split(late, cut):
                 d = doc_of[part[0]]
-                out.append(_sent(int(docs[d]), int(codes[d]), _spans(at[part]), int(anchor[part[0]] % words.U64(n_buckets))))
+                out.append(_sent(int(docs[d]), int(codes[d]), _spans(at[part]), int(deal[d])))
         own = np.flatnonzero(first)
         a, d, p = anchor[own], doc_of[own], at[own].astype(np.int64)
         cut = np.flatnonzero((a[1:] != a[:-1]) | (d[1:] != d[:-1]) | (p[1:] != p[:-1] + 1)) + 1
@@ -125,10 +129,11 @@ def _seed(min_words: int, k: int, n_buckets: int):
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
         seen: set[tuple] = set()
         for b in batches:
-            for doc, code, text in zip(*(b.column(c).to_pylist() for c in ("doc", "code", "body"))):
-                if text and (doc, code) not in seen:
-                    seen.add((doc, code))
-                    yield doc, code, text
+            for part in words.slices(b, "body"):
+                for doc, code, text in zip(*(part.column(c).to_pylist() for c in ("doc", "code", "body"))):
+                    if text and (doc, code) not in seen:
+                        seen.add((doc, code))
+                        yield doc, code, text
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for group in words.batches(rows(batches)):
@@ -140,19 +145,31 @@ def _seed(min_words: int, k: int, n_buckets: int):
 
 
 def _extend(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Among rows of the same anchors, find the windows that start earlier elsewhere."""
-    runs, checks = [], []
+    """Find the windows that start earlier elsewhere, a bucket at a time; rows come sorted by bucket."""
+    last, held = None, []
     for b in batches:
         kind = b.column("kind").to_numpy()
         done = b.filter(pa.array(kind == 1))
         if done.num_rows:
             yield done
-        for payload in b.filter(pa.array(kind == 0)).column("payload").to_pylist():
-            n = int.from_bytes(payload[:4], "little")
-            runs.append(np.frombuffer(payload, _RUN, n, 4))
-            checks.append(np.frombuffer(payload, np.uint8, offset=4 + n * _RUN.itemsize).reshape(-1, 5))
-    if not runs:
-        return
+        rest = b.filter(pa.array(kind == 0))
+        for bucket, payload in zip(rest.column("bucket").to_pylist(), rest.column("payload").to_pylist()):
+            if bucket != last and held:
+                yield from _late(held)
+                held = []
+            last = bucket
+            held.append(payload)
+    if held:
+        yield from _late(held)
+
+
+def _late(payloads: list[bytes]) -> Iterator[pa.RecordBatch]:
+    """Among the runs of one bucket, the windows whose equal starts earlier."""
+    runs, checks = [], []
+    for payload in payloads:
+        n = int.from_bytes(payload[:4], "little")
+        runs.append(np.frombuffer(payload, _RUN, n, 4))
+        checks.append(np.frombuffer(payload, np.uint8, offset=4 + n * _RUN.itemsize).reshape(-1, 5))
     run = np.concatenate(runs)
     low = np.concatenate(checks)
     del runs, checks
@@ -228,8 +245,8 @@ def substring_dedup(df: DataFrame, min_words: int = 20, id_col: str = "doc_id",
     parts = n_partitions(df.sparkSession)
     docs = df.select(F.coalesce(F.col(id_col).cast("long"), F.lit(_NULL)).alias("doc"), F.coalesce(F.xxhash64(F.col(text_col)), F.lit(0)).alias("code"), F.col(text_col).cast("binary").alias("body"), *([F.struct(*[F.col(f"`{c}`") for c in df.columns if c != text_col] or [F.lit(0)]).alias("rest")] if carry else []))
     dealt = docs.repartition(parts, "doc", "code")
-    sent = dealt.mapInArrow(_seed(min_words, k, parts), _SENT)
-    found = sent.repartition(parts, "bucket").mapInArrow(_extend, _SENT)
+    sent = dealt.mapInArrow(words.tidy(_seed(min_words, k, parts * BUCKETS)), _SENT)
+    found = sent.repartition(parts, "bucket").sortWithinPartitions("bucket").mapInArrow(words.tidy(_extend), _SENT)
     spans = (
         found.select("doc", "code", "payload").repartition(parts, "doc", "code")
         .groupBy("doc", "code")
@@ -238,26 +255,27 @@ def substring_dedup(df: DataFrame, min_words: int = 20, id_col: str = "doc_id",
     joined = dealt.join(spans.hint("shuffle_hash"), ["doc", "code"], "left").select("doc", "body", "spans", *(["rest"] if carry else []))
 
     def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            texts, n_words, n_removed = [], [], []
-            for body, spans in zip(b.column("body").to_pylist(), b.column("spans").to_pylist()):
-                own = body.split() if body else []
-                n_words.append(len(own))
-                if not spans:
-                    texts.append(body if keep_layout or body is None else b" ".join(own))
-                    n_removed.append(0)
-                    continue
-                stay = _mark(len(own), min_words, spans)
-                texts.append(b" ".join([w for w, keep in zip(own, stay.tolist()) if keep]))
-                n_removed.append(int(len(own) - stay.sum()))
-            yield pa.RecordBatch.from_arrays(
-                [b.column("doc"), pa.array(texts, pa.binary()), pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()), *([b.column("rest")] if carry else [])],
-                names=["doc", "body", "n_words", "n_removed", *(["rest"] if carry else [])],
-            )
+        for whole in batches:
+            for b in words.slices(whole, "body"):
+                texts, n_words, n_removed = [], [], []
+                for body, spans in zip(b.column("body").to_pylist(), b.column("spans").to_pylist()):
+                    own = body.split() if body else []
+                    n_words.append(len(own))
+                    if not spans:
+                        texts.append(body if keep_layout or body is None else b" ".join(own))
+                        n_removed.append(0)
+                        continue
+                    stay = _mark(len(own), min_words, spans)
+                    texts.append(b" ".join([w for w, keep in zip(own, stay.tolist()) if keep]))
+                    n_removed.append(int(len(own) - stay.sum()))
+                yield pa.RecordBatch.from_arrays(
+                    [b.column("doc"), pa.array(texts, pa.binary()), pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()), *([b.column("rest")] if carry else [])],
+                    names=["doc", "body", "n_words", "n_removed", *(["rest"] if carry else [])],
+                )
 
     kinds = T.StructType().add("doc", "long").add("body", "binary").add("n_words", "long").add("n_removed", "long")
     if carry:
-        done = joined.mapInArrow(finish, kinds.add(joined.schema["rest"]))
+        done = joined.mapInArrow(words.tidy(finish), kinds.add(joined.schema["rest"]))
         return done.select(*[F.col("body").cast("string").alias(c) if c == text_col else F.col(f"rest.`{c}`").alias(c) for c in df.columns])
-    done = joined.mapInArrow(finish, kinds)
+    done = joined.mapInArrow(words.tidy(finish), kinds)
     return done.select(F.when(F.col("doc") != _NULL, F.col("doc")).alias(id_col), F.col("body").cast("string").alias("text"), "n_words", "n_removed")
