@@ -11,7 +11,7 @@ together grow with the corpus, so no size bound could be proven for them.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 from itertools import repeat
 
 import numpy as np
@@ -84,11 +84,52 @@ class BKTree:
                 stack.extend(c for e, c in kids.items() if d - radius <= e <= d + radius)
 
 
-def forest(values: list[int], radius: int, agree: Callable[[int, int], bool] | None = None) -> list[tuple[int, int]]:
-    """Links that join the values' classes: a spanning forest of places, by tree search.
-
-    agree: a further test of two places; pairs already in one class skip it.
-    """
+class BucketTree:
+    """A BK-tree over values known from the start; groups of up to ``leaf`` values are leaves and scanned at once."""
+
+    def __init__(self, values: np.ndarray, leaf: int = 64) -> None:
+        self.values = values
+        #: (place of the node's value, children by distance), or the places of a leaf
+        self.nodes: list[tuple[int, dict[int, int]] | np.ndarray] = []
+        grow: list[tuple[np.ndarray, dict[int, int] | None, int]] = [(np.arange(len(values)), None, 0)] if len(values) else []
+        while grow:
+            own, above, edge = grow.pop()
+            if above is not None:
+                above[edge] = len(self.nodes)
+            if len(own) <= leaf or (above is not None and edge == 0):  # no distance to the parent: all are equal
+                self.nodes.append(own)
+                continue
+            pivot, rest = int(own[0]), own[1:]
+            far = np.bitwise_count(values[rest] ^ values[pivot])
+            kids: dict[int, int] = {}
+            self.nodes.append((pivot, kids))
+            order = np.argsort(far, kind="stable")
+            at = np.flatnonzero(np.diff(far[order], prepend=255))
+            for s, e in zip(at.tolist(), [*at[1:].tolist(), len(order)]):
+                grow.append((rest[order[s:e]], kids, int(far[order[s]])))
+
+    def search(self, value: np.uint64, radius: int) -> np.ndarray:
+        """Places of the values within the radius, the nearest first."""
+        stack, found = [0] if self.nodes else [], []
+        while stack:
+            node = self.nodes[stack.pop()]
+            if isinstance(node, np.ndarray):
+                found.append(node)
+                continue
+            pivot, kids = node
+            d = int(self.values[pivot] ^ value).bit_count()
+            found.append([pivot])
+            stack.extend(kids[e] for e in kids if d - radius <= e <= d + radius)
+        if not found:
+            return np.zeros(0, np.int64)
+        near = np.concatenate(found).astype(np.int64)
+        far = np.bitwise_count(self.values[near] ^ value)
+        near, far = near[far <= radius], far[far <= radius]
+        return near[np.lexsort((near, far))]
+
+
+def forest(values: list[int], radius: int) -> list[tuple[int, int]]:
+    """Links that join the values' classes: a spanning forest of places, by tree search."""
     tree, root, links = BKTree(), list(range(len(values))), []
 
     def find(x: int) -> int:
@@ -100,7 +141,7 @@ def forest(values: list[int], radius: int, agree: Callable[[int, int], bool] | N
     for i, v in enumerate(values):
         for j in tree.search(v, radius):
             a, b = find(i), find(j)
-            if a != b and (agree is None or agree(i, j)):
+            if a != b:
                 root[max(a, b)] = min(a, b)
                 links.append((i, j))
         tree.insert(v)
@@ -116,10 +157,11 @@ def fingerprints(df: DataFrame, id_col: str, text_col: str, width: int) -> DataF
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            fps = [_signed(fingerprint(hash_shingles(shingle_bytes(x, width)))) for x in b.column("body").to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column("doc"), pa.array(fps, pa.int64())], names=["doc", "fp"])
+            for part in words.slices(b, "body"):
+                fps = [_signed(fingerprint(hash_shingles(shingle_bytes(x, width)))) for x in part.column("body").to_pylist()]
+                yield pa.RecordBatch.from_arrays([part.column("doc"), pa.array(fps, pa.int64())], names=["doc", "fp"])
 
-    return df.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).cast("binary").alias("body")).mapInArrow(run, "doc long, fp long")
+    return df.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).cast("binary").alias("body")).mapInArrow(words.tidy(run), "doc long, fp long")
 
 
 def _blocks(n: int, low: int, high: int) -> list[tuple[int, int]]:
@@ -168,24 +210,29 @@ def link_fingerprints(fps: DataFrame, radius: int, tree: int = TREE) -> DataFram
         every = every.unionByName(x)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        got = [(b.column("shard").to_numpy(), b.column("fp").to_numpy()) for b in batches if b.num_rows]
-        if not got:
-            return
-        shard, fp = (np.concatenate(x) for x in zip(*got))
-        order = np.lexsort((fp, shard))
-        shard, fp = shard[order], fp[order]
-        begin = np.flatnonzero(np.concatenate([[True], shard[1:] != shard[:-1]]))
-        end = np.concatenate([begin[1:], [len(shard)]])
-        several = end - begin > 1
-        a, b = [], []
-        for s, e in zip(begin[several].tolist(), end[several].tolist()):
-            own = fp[s:e]
-            for i, j in forest(own.astype(np.uint64).tolist(), radius):
-                a.append(own[i])
-                b.append(own[j])
-        yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
-
-    return every.repartition(parts, "shard").mapInArrow(run, "a long, b long").distinct()
+        def close(own: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+            fp = np.concatenate(own)
+            found = forest(fp.astype(np.uint64).tolist(), radius) if len(fp) > 1 else []
+            if found:
+                i, j = np.array(found).T
+                yield pa.RecordBatch.from_arrays([pa.array(fp[i], pa.int64()), pa.array(fp[j], pa.int64())], names=["a", "b"])
+
+        last, own = None, []
+        for b in batches:
+            if not b.num_rows:
+                continue
+            shard, fp = b.column("shard").to_numpy(), b.column("fp").to_numpy()
+            cut = np.flatnonzero(np.diff(shard)) + 1
+            for s, e in zip([0, *cut.tolist()], [*cut.tolist(), len(shard)]):
+                if shard[s] != last and own:
+                    yield from close(own)
+                    own = []
+                last = shard[s]
+                own.append(fp[s:e])
+        if own:
+            yield from close(own)
+
+    return every.repartition(parts, "shard").sortWithinPartitions("shard", "fp").mapInArrow(words.tidy(run), "a long, b long").distinct()
 
 
 def _outside(value, at: int, bits: int, width: int):
