@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import itertools
 import os
 import re
 import shutil
@@ -67,15 +68,26 @@ def shared_dir(spark: SparkSession) -> str:
     return own
 
 
+#: Cuts between two collections of the driver's garbage.
+TIDY = 8
+_cuts = itertools.count(1)
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Cut the lineage with a checkpoint in the shared folder.
 
-    The copy outlives any executor, unlike a local checkpoint.
+    The copy outlives any executor, unlike a local checkpoint. Spark removes
+    the shuffle files and checkpoints of what came before once the driver's
+    garbage is collected, which a driver of little memory use may not do for
+    half an hour: so it is asked to now and then.
     """
     spark = df.sparkSession
     if not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
         spark.sparkContext.setCheckpointDir(shared_dir(spark))
-    return df.checkpoint(eager=True)
+    done = df.checkpoint(eager=True)
+    if next(_cuts) % TIDY == 0:
+        spark._jvm.System.gc()
+    return done
 
 
 def remove(spark: SparkSession, folder: str) -> None:

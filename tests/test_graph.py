@@ -63,7 +63,10 @@ def test_pagerank_of_nothing(spark):
     assert G.pagerank(none).count() == 0
 
 
-def test_components(spark):
+@pytest.mark.parametrize("few", [0, 10, 200_000])
+def test_components(spark, few):
     links = [(i, i + 1) for i in range(1, 40)] + [(100, 101), (102, 101), (7, 7), (None, 1), (200, 200)]
-    got = {r.node: r.component for r in connected_components(spark.createDataFrame(links, "a int, b int")).collect()}
+    got = {r.node: r.component for r in connected_components(spark.createDataFrame(links, "a int, b int"), few=few).collect()}
     assert got == {**{i: 1 for i in range(1, 41)}, 100: 100, 101: 100, 102: 100, 200: 200}
+    names = connected_components(spark.createDataFrame([("b", "é"), ("é", "z"), ("x", "y")], "a string, b string"), few=few)
+    assert {r.node: r.component for r in names.collect()} == {"b": "b", "é": "b", "z": "b", "x": "x", "y": "x"}
