@@ -15,7 +15,6 @@ from __future__ import annotations
 
 import hashlib
 import math
-from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -24,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lakeloom.llm import words
-from lakeloom.llm.simhash import fingerprint, forest
+from lakeloom.llm.simhash import BucketTree, fingerprint
 from lakeloom.operators.components import connected_components
 from lakeloom.session import cut, n_partitions
 
@@ -36,8 +35,8 @@ SKETCH = 512
 DOUBT = 20
 #: Rows of whole shingle sets in one Arrow batch.
 SETS = 256
-#: Members of one tree; larger shards are dealt to pairs of blocks.
-BLOCK = 4096
+#: Texts of a block; larger shards are dealt to blocks.
+BLOCK = 1024
 _SEEDS = words.mix(np.arange(1, SHARDS + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 
 
@@ -78,79 +77,131 @@ def features(docs: DataFrame, width: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            digests, fps, mins, sizes, sketches = [], [], [], [], []
-            for body in b.column("body").to_pylist():
-                own = shingle_set(body or b"", width)
-                digests.append(hashlib.blake2b(own.tobytes(), digest_size=16).hexdigest())
-                fps.append(fingerprint(own))
-                mins.append([int(words.mix(own ^ s).min().view(np.int64)) for s in _SEEDS] if len(own) else [])
-                sizes.append(len(own))
-                sketches.append(np.unique((own[:SKETCH] >> np.uint64(32)).astype(np.uint32)).tobytes())
-            yield pa.RecordBatch.from_arrays(
-                [b.column("doc"), b.column("code"), pa.array(digests), pa.array(np.array(fps, np.uint64).view(np.int64)), pa.array(mins, pa.list_(pa.int64())), pa.array(sizes, pa.int32()), pa.array(sketches, pa.binary())], names=names
-            )
-
-    return docs.mapInArrow(run, "doc long, code long, digest string, fp long, mins array<long>, size int, sketch binary")
-
-
-def links(feats: DataFrame, small: DataFrame, similarity: float, radius: int) -> DataFrame:
-    """Links (a, b, sure) of digests that join them into classes; those not sure are yet to be decided on whole sets."""
-    parts = n_partitions(feats.sparkSession)
+            for part in words.slices(b, "body"):
+                digests, fps, mins, sizes, sketches = [], [], [], [], []
+                for body in part.column("body").to_pylist():
+                    own = shingle_set(body or b"", width)
+                    digests.append(hashlib.blake2b(own.tobytes(), digest_size=16).hexdigest())
+                    fps.append(fingerprint(own))
+                    mins.append([int(words.mix(own ^ s).min().view(np.int64)) for s in _SEEDS] if len(own) else [])
+                    sizes.append(len(own))
+                    sketches.append(np.unique((own[:SKETCH] >> np.uint64(32)).astype(np.uint32)).tobytes())
+                yield pa.RecordBatch.from_arrays(
+                    [part.column("doc"), part.column("code"), pa.array(digests), pa.array(np.array(fps, np.uint64).view(np.int64)), pa.array(mins, pa.list_(pa.int64())), pa.array(sizes, pa.int32()), pa.array(sketches, pa.binary())], names=names
+                )
+
+    return docs.mapInArrow(words.tidy(run), "doc long, code long, digest string, fp long, mins array<long>, size int, sketch binary")
+
+
+def shards(small: DataFrame) -> DataFrame:
+    """shard, members, digest, fp: the shards of more than one text, from small (digest, fp, mins)."""
     seeds = small.select("digest", "fp", F.posexplode("mins").alias("way", "least_hash")).select("digest", "fp", F.xxhash64("way", "least_hash").alias("shard"))
     busy = seeds.groupBy("shard").agg(F.count(F.lit(1)).alias("members")).where(F.col("members") > 1)
-    seeds = seeds.join(busy, "shard")
-    # A shard beyond a block's size is dealt to all pairs of its blocks: each task is bounded, no pair is missed.
+    return seeds.join(busy, "shard").select("shard", "members", "digest", "fp")
+
+
+def all_pairs(rows: DataFrame, within: bool) -> DataFrame:
+    """rows (shard, digest, fp, root) dealt so that any two of a shard meet in a group of two blocks at most.
+
+    side: rows of different sides are compared, those of side 2 with all.
+    within: also two rows of one block.
+    """
     n = F.ceil(F.col("members") / BLOCK).cast("int")
-    own = F.pmod(F.xxhash64("digest"), n).cast("int")
-    pairs = F.transform(F.sequence(F.lit(0), n - 1), lambda x: F.xxhash64(F.col("shard"), F.least(x, own), F.greatest(x, own)))
-    seeds = seeds.select("digest", "fp", F.explode(F.when(F.col("members") > BLOCK, pairs).otherwise(F.array("shard"))).alias("shard"))
-    sketches = feats.join(seeds.select("digest").distinct(), "digest", "left_semi").select("digest", "size", "sketch").dropDuplicates(["digest"])
-    rows = seeds.join(sketches, "digest").select("shard", "digest", "fp", "size", "sketch")
+    rows = rows.join(rows.groupBy("shard").agg(F.count(F.lit(1)).alias("members")), "shard").withColumn("n", n)
+    rows = rows.withColumn("own", F.pmod(F.xxhash64("digest"), F.col("n")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("n") - 1)))
+    rows = rows if within else rows.where("own <> other")
+    side = F.when(F.col("own") == F.col("other"), 2).when(F.col("own") < F.col("other"), 0).otherwise(1)
+    return rows.select(F.xxhash64("shard", F.least("own", "other"), F.greatest("own", "other")).alias("shard"), "digest", "fp", "root", side.cast("byte").alias("side"))
+
+
+def join_classes(values: np.ndarray, sizes: np.ndarray, sets: list[np.ndarray], label: np.ndarray, side: np.ndarray, similarity: float, radius: int) -> tuple[list, list]:
+    """Links that join classes of the members of a group, and pairs that the sketches leave open.
+
+    label: classes known so far. A member is compared with those in other
+    classes only, so a class of many near copies costs a link for each.
+    """
+    tree, found, left = BucketTree(values), [], []
+    for i in range(len(values)):
+        near = tree.search(values[i], radius)
+        near = near[(near < i) & (label[near] != label[i]) & ((side[near] != side[i]) | (side[i] == 2))]
+        near = near[np.minimum(sizes[near], sizes[i]) >= similarity * np.maximum(sizes[near], sizes[i])]
+        while len(near):
+            j = int(near[0])
+            same = similar(sets[i], sets[j], (int(sizes[i]), int(sizes[j])), similarity)
+            near = near[1:]
+            if same is None:
+                left.append((i, j))
+            elif same:
+                found.append((i, j))
+                label[label == label[j]] = label[i]
+                near = near[label[near] != label[i]]
+    return found, [(i, j) for i, j in left if label[i] != label[j]]
+
+
+def links(rows: DataFrame, similarity: float, radius: int) -> DataFrame:
+    """Links (a, b, sure) of digests that join classes within the groups of rows (shard, digest, fp, root, side, size, sketch); those not sure are yet to be decided on whole sets."""
+    parts = n_partitions(rows.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def close(held: list) -> Iterator[pa.RecordBatch]:
-            sets = [np.frombuffer(s, np.uint32) for *_, s in held]
-            open_i, open_j = array("i"), array("i")
-
-            def agree(i: int, j: int) -> bool:
-                same = similar(sets[i], sets[j], (held[i][2], held[j][2]), similarity)
-                if same is None:
-                    open_i.append(i)
-                    open_j.append(j)
-                return bool(same)
-
-            found = forest([fp & (1 << 64) - 1 for _, fp, _, _ in held], radius, agree)
-            root = list(range(len(held)))
-            for i, j in found:  # the class of i, all before it, meets that of j
-                while root[i] != i:
-                    i = root[i]
-                while root[j] != j:
-                    j = root[j]
-                root[max(i, j)] = min(i, j)
-            for i in range(len(root)):  # a root is never after its members
-                root[i] = root[root[i]]
-            root = np.array(root)
-            left, right = np.frombuffer(open_i, np.int32), np.frombuffer(open_j, np.int32)
-            apart = root[left] != root[right]
-            left, right = np.r_[[i for i, _ in found], left[apart]].astype(int), np.r_[[j for _, j in found], right[apart]].astype(int)
-            for at in range(0, len(left), 1 << 16):
-                part = slice(at, at + (1 << 16))
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([held[i][0] for i in left[part]], pa.string()), pa.array([held[j][0] for j in right[part]], pa.string()), pa.array(np.arange(len(left))[part] < len(found))], names=["a", "b", "sure"]
-                )
+            digests, fps, roots, sides, sizes, sketches = zip(*held)
+            _, label = np.unique(roots, return_inverse=True)
+            found, left = join_classes(np.array(fps, np.int64).view(np.uint64), np.array(sizes), [np.frombuffer(s, np.uint32) for s in sketches], label, np.array(sides), similarity, radius)
+            both = found + left
+            for at in range(0, len(both), 1 << 16):
+                part = both[at : at + (1 << 16)]
+                yield pa.RecordBatch.from_arrays([pa.array([digests[i] for i, _ in part]), pa.array([digests[j] for _, j in part]), pa.array([at + k < len(found) for k in range(len(part))])], names=["a", "b", "sure"])
 
         shard, held = None, []
         for b in batches:
-            for s, *row in zip(*(b.column(c).to_pylist() for c in ("shard", "digest", "fp", "size", "sketch"))):
-                if s != shard:
-                    if len(held) > 1:
-                        yield from close(held)
-                    shard, held = s, []
-                held.append(row)
+            for at in range(0, b.num_rows, 1024):
+                part = b.slice(at, 1024)
+                for s, *row in zip(*(part.column(c).to_pylist() for c in ("shard", "digest", "fp", "root", "side", "size", "sketch"))):
+                    if s != shard:
+                        if len(held) > 1:
+                            yield from close(held)
+                        shard, held = s, []
+                    held.append(row)
         if len(held) > 1:
             yield from close(held)
 
-    return rows.repartition(parts, "shard").sortWithinPartitions("shard", "digest").mapInArrow(run, "a string, b string, sure boolean").distinct()
+    dealt = rows.select("shard", "digest", "fp", "root", "side", "size", "sketch").repartition(parts, "shard").sortWithinPartitions("shard", "digest")
+    return dealt.mapInArrow(words.tidy(run), "a string, b string, sure boolean").distinct()
+
+
+def all_links(feats: DataFrame, small: DataFrame, similarity: float, radius: int) -> DataFrame:
+    """Links (a, b, sure) of digests that join them into classes.
+
+    A shard of over BLOCK texts is dealt to blocks. Classes form in each block
+    first; then one text of each class meets those of the shard's other blocks;
+    only where a shard is of several classes even then, texts of different
+    blocks and classes meet. So a hot group of near copies costs a few rows for
+    each of its texts, and no pair of different classes is missed.
+    """
+    parts = n_partitions(small.sparkSession)
+    seeds = cut(shards(small))
+    sketches = feats.select("digest", "size", "sketch").join(seeds.select("digest").distinct(), "digest", "left_semi").dropDuplicates(["digest"])
+    own = F.pmod(F.xxhash64("digest"), F.ceil(F.col("members") / BLOCK)).cast("int")
+    group = F.when(F.col("members") > BLOCK, F.xxhash64("shard", own)).otherwise(F.col("shard"))
+    rows = seeds.select(group.alias("shard"), "digest", "fp", F.col("digest").alias("root"), F.lit(2).cast("byte").alias("side"))
+    found = cut(links(rows.join(sketches, "digest"), similarity, radius))
+    crowded = seeds.where(F.col("members") > BLOCK).select("shard", "digest", "fp")
+    if crowded.isEmpty():
+        return found
+    sketches = cut(sketches.join(crowded.select("digest").distinct(), "digest", "left_semi"))
+
+    def named() -> DataFrame:
+        roots = connected_components(found.where("sure").select("a", "b"))
+        return crowded.join(roots.withColumnRenamed("node", "digest"), "digest", "left").select("shard", "digest", "fp", F.coalesce("component", "digest").alias("root"))
+
+    heads = named().groupBy("shard", "root").agg(F.min(F.struct("digest", "fp")).alias("head")).select("shard", "head.digest", "head.fp", "root")
+    found = cut(found.union(links(all_pairs(cut(heads), within=True).join(sketches, "digest"), similarity, radius)).coalesce(parts))
+    rest = cut(named())
+    several = rest.groupBy("shard").agg((F.min("root") != F.max("root")).alias("several")).where("several").select("shard")
+    rest = cut(rest.join(several, "shard", "left_semi"))
+    if rest.isEmpty():
+        return found
+    return cut(found.union(links(all_pairs(rest, within=False).join(sketches, "digest"), similarity, radius)).coalesce(parts))
 
 
 def decide(unsure: DataFrame, texts: DataFrame, small: DataFrame, width: int, similarity: float) -> DataFrame:
@@ -166,7 +217,7 @@ def decide(unsure: DataFrame, texts: DataFrame, small: DataFrame, width: int, si
                 yield pa.RecordBatch.from_arrays([part.column("digest"), pa.array(sets, pa.list_(pa.int64()))], names=["digest", "set"])
 
     once = texts.join(wanted, ["doc", "code"]).select("digest", "body").dropDuplicates(["digest"])
-    sets = cut(once.mapInArrow(run, "digest string, set array<long>"))
+    sets = cut(once.mapInArrow(words.tidy(run), "digest string, set array<long>"))
     pairs = unsure.join(sets.select(F.col("digest").alias("a"), F.col("set").alias("sa")), "a").join(sets.select(F.col("digest").alias("b"), F.col("set").alias("sb")), "b")
     shared = F.size(F.array_intersect("sa", "sb"))
     counted = pairs.select("a", "b", shared.alias("shared"), (F.size("sa") + F.size("sb")).alias("sizes"))
@@ -182,8 +233,8 @@ def near_dedup(df: DataFrame, width: int = 5, similarity: float = 0.8, radius: i
 
     Defined cases: null and blank texts have no shingles and are copies of one
     another; shorter texts are one shingle; a null id comes after all others,
-    and among equal ids the smaller hash of the text first; of rows repeated in
-    full one stays; an empty table gives an empty result; other columns are
+    and among equal ids the smaller hash of the text first; of rows with equal id and
+    text the one whose columns come first as JSON stays; an empty table gives an empty result; other columns are
     passed on.
     """
     last = (1 << 63) - 1
@@ -191,7 +242,7 @@ def near_dedup(df: DataFrame, width: int = 5, similarity: float = 0.8, radius: i
     texts = df.select(*key, F.col(text_col).cast("binary").alias("body"))
     feats = cut(features(texts, width))
     small = feats.groupBy("digest").agg(F.min(F.struct("doc", "code")).alias("least"), F.first("fp").alias("fp"), F.first("mins").alias("mins"))
-    found = cut(links(feats, small, similarity, radius))
+    found = all_links(feats, small, similarity, radius)
     sure, unsure = found.where("sure").select("a", "b"), found.where("not sure").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     roots = connected_components(sure)
     if not unsure.isEmpty():
@@ -205,5 +256,5 @@ def near_dedup(df: DataFrame, width: int = 5, similarity: float = 0.8, radius: i
     packed = df.select(*key, F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("row"))
     kept = packed.join(stay, ["doc", "code"], "left_semi")
     if not feats.groupBy("doc", "code").count().where("count > 1").isEmpty():
-        kept = kept.groupBy("doc", "code").agg(F.first("row").alias("row"))
+        kept = kept.groupBy("doc", "code").agg(F.min_by("row", F.to_json("row")).alias("row"))
     return kept.select("row.*")

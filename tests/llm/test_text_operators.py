@@ -1,10 +1,12 @@
 """Text operators against brute force, with nulls, blanks, ties, repeated rows and clashing columns."""
 
 import hashlib
+import math
 import random
 from array import array
 from collections import defaultdict
 
+import numpy as np
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -13,8 +15,9 @@ public_tokenizers = pytest.importorskip("public_tokenizers")
 
 from lakeloom.llm import bpe, langid, packing, words  # noqa: E402
 from lakeloom.llm.line_dedup import line_dedup  # noqa: E402
+from lakeloom.llm import near_dedup as near  # noqa: E402
 from lakeloom.llm.near_dedup import near_dedup  # noqa: E402
-from lakeloom.llm.simhash import BKTree, simhash_components  # noqa: E402
+from lakeloom.llm.simhash import BKTree, BucketTree, simhash_components  # noqa: E402
 from lakeloom.llm.substring_dedup import substring_dedup  # noqa: E402
 
 WORDS = "alpha beta gamma delta epsilon zeta eta theta iota kappa lambda mu nu xi omicron pi rho sigma tau upsilon".split()
@@ -194,6 +197,70 @@ def test_near_dedup(docs, none):
     assert near_dedup(none).count() == 0
 
 
+def kept_by_brute_force(texts, similarity=0.8):
+    """Least ids of the classes of texts linked at the similarity of their five-word shingles."""
+    sets = [{tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))} for w in (t.split() for t in texts)]
+    root = list(range(len(texts)))
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    links = 0
+    for a in range(len(texts)):
+        for b in range(a):
+            if len(sets[a] & sets[b]) >= similarity * len(sets[a] | sets[b]):
+                links += 1
+                x, y = find(a), find(b)
+                root[max(x, y)] = min(x, y)
+    return {find(i) for i in range(len(texts))}, links
+
+
+@pytest.mark.parametrize("block", [3, 1024])
+def test_near_dedup_of_hot_shards(spark, block, monkeypatch):
+    """A large group of near copies that share a start, in chains, in blocks of three and whole."""
+    rnd = random.Random(11)
+    start = [f"s{k}" for k in range(40)]
+    texts = [" ".join(start)]
+    for g in range(3):
+        own = start + [f"g{g}x{k}" for k in range(40)]
+        for k in range(14):
+            own = [w if i < 40 or rnd.random() > 0.02 else f"e{g}y{k}z{i}" for i, w in enumerate(own)]
+            texts.append(" ".join(own))
+    monkeypatch.setattr(near, "BLOCK", block)
+    got = {r.doc_id for r in near_dedup(spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string").repartition(5)).collect()}
+    want, links = kept_by_brute_force(texts)
+    assert got == want and links > 60 and len(want) > 3
+
+
+def test_near_dedup_recall(spark):
+    """Pairs between 0.8 and 0.85, each alone: candidates by min-hash and radius lose hardly any."""
+    rnd = random.Random(12)
+    texts = []
+    for g in range(250):
+        own = [f"g{g}x{k}" for k in range(rnd.randint(90, 200))]
+        n = len(own) - 4
+        texts += [" ".join(own), " ".join(own + [f"more{g}y{k}" for k in range(int(n * rnd.uniform(0.18, 0.25)))])]
+    got = {r.doc_id for r in near_dedup(spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string")).collect()}
+    want, links = kept_by_brute_force(texts)
+    assert want <= got and links >= 240 and len(got - want) <= 0.02 * links
+
+
+def test_bucket_tree():
+    rnd = random.Random(3)
+    base = [rnd.getrandbits(64) for _ in range(20)]
+    values = [b ^ (1 << rnd.randrange(64)) ^ (1 << rnd.randrange(64)) for b in base for _ in range(40)] + base[:1] * 200
+    tree = BucketTree(np.array(values, np.uint64), leaf=16)
+    for q in base + [0]:
+        for radius in (0, 2, 22):
+            got = tree.search(np.uint64(q), radius).tolist()
+            assert sorted(got) == [i for i, v in enumerate(values) if (v ^ q).bit_count() <= radius]
+            far = [(values[i] ^ q).bit_count() for i in got]
+            assert far == sorted(far)
+    assert len(BucketTree(np.zeros(0, np.uint64)).search(np.uint64(1), 3)) == 0
+
+
 def test_near_dedup_of_long_texts(spark):
     """Pairs of over 512 shingles on both sides of the bound, too near for a sketch to tell."""
     rows, linked = [], 0
@@ -208,20 +275,74 @@ def test_near_dedup_of_long_texts(spark):
     assert got == want
 
 
+def drop_lines(rows, min_docs=3, levels=3):
+    """Line dedup by brute force: {(id, text): kept lines}."""
+    docs = sorted({(i, t) for i, t in rows if t is not None}, key=lambda d: (d[0] is not None, d[0] or 0))
+    shape = {}
+    for line in {x for _, t in docs for x in t.split("\n")}:
+        t = tuple(line.replace("\t", " ").replace("\r", " ").split())
+        if len(t) >= 4:
+            t = tuple("<*>" if any(c in "0123456789" for c in w) else w for w in t)
+            shape[line] = (t, (len(t), *t[:3])) if set(t) != {"<*>"} else (t, None)
+        else:
+            shape[line] = (t, ("short", t) if len(" ".join(t)) >= 16 else None)
+    homes = defaultdict(set)  # documents of each sequence of tokens
+    for d in docs:
+        for line in d[1].split("\n"):
+            if shape[line][1]:
+                homes[shape[line]].add(d)
+    nodes, template = defaultdict(set), {}
+    for t, leaf in homes:
+        nodes[leaf].add(t)
+    for level in range(levels + 1):
+        below = defaultdict(set)
+        for node, lines in nodes.items():
+            leaf = node if not level else node[0]
+            if leaf[0] == "short" or len(lines) < 2 or sum(len(homes[t, leaf]) for t in lines) < min_docs:
+                continue
+            kinds, top = [], []
+            for column in zip(*lines):
+                weights = defaultdict(int)
+                for w, t in zip(column, lines):
+                    weights[w] += len(homes[t, leaf])
+                kinds.append(len(weights))
+                top.append(max(weights, key=lambda w: (weights[w], w.encode())))
+            at = min((k, i) for i, k in enumerate(kinds) if k > 1)[1]
+            for t in lines:
+                if sum(map(str.__eq__, t, top)) >= 0.8 * len(t):
+                    template[t, leaf] = (node, "*")
+                else:
+                    below[leaf, node, t[at]].add(t)
+        nodes = below
+    groups = defaultdict(set)
+    for key, own in homes.items():
+        groups[template.get(key, key)] |= own
+    first = {g: min(own, key=docs.index) for g, own in groups.items() if len(own) >= min_docs}
+    out = {}
+    for d in docs:
+        out[d] = [x for x in d[1].split("\n") if first.get(template.get(shape[x], shape[x]), d) == d or not shape[x][1]]
+    return out
+
+
 def test_line_dedup(spark, docs, none):
     rows = [(1, "x y z w\nmenu home about contact\nown line of one"), (2, "menu home about contact\nown line of two two"), (3, "menu home about contact\nshort"), (4, None), (5, ""), (None, "menu home about contact"), (2, "menu home about contact\nown line of two two")]
     rows += [(10 + i, f"page {i * 37} of 99 shown here\nunlike {' '.join(random.Random(i).sample(WORDS, 9))}") for i in range(4)]
     rows += [(20 + i, f"posted on the site by user {n} about one thing only today") for i, n in enumerate(["ann", "bob", "cy", "dee"])]
-    df = spark.createDataFrame([(i, t, "c", "d") for i, t in rows], "doc_id int, text string, body string, gone string").repartition(3)
+    rows += [(30 + i, f"All rights reserved.\n1 2 3 4\n  yes \nkey\t{i}  of the\trow\r\n版权所有未经许可不得转载或以任何方式使用\nend {i}") for i in range(4)]
+    rows += [(-(1 << 63), "menu home about contact"), (40, "w" * 200_000 + " 1 " + "v" * 1000 + "1 x y"), (41, "\n".join(f"line {WORDS[k % 19]} {k} of a very long text" for k in range(3000)))]
+    df = spark.createDataFrame([(i, t, "c", "d", 1) for i, t in rows], "doc_id long, text string, body string, gone string, _n_dropped int").repartition(3)
     out = line_dedup(df, carry=True)
-    assert out.columns == [*df.columns, "_n_lines", "_n_dropped"]
-    got = {r.doc_id: r for r in out.collect()}
-    assert got[None].text == "menu home about contact"  # the first of them stays
-    assert got[1].text == "x y z w\nown line of one" and got[3].text == "short" and got[2].text == "own line of two two"
-    assert got[4].text is None and got[4]._n_lines == 0 and got[5].text == "" and got[5]._n_lines == 1
-    assert got[10].text.startswith("page 0") and all(got[10 + i].text.startswith("unlike") for i in (1, 2, 3))
-    assert got[20].text and all(got[20 + i].text == "" for i in (1, 2, 3))
-    assert out.count() == len(rows) and line_dedup(docs.limit(0)).count() == 0 and line_dedup(df).columns[:2] == ["doc_id", "text"]
+    assert out.columns == ["_n_lines", "_n_dropped", "_text", "_row"]
+    got = {(r._row.doc_id, r._row.text): r for r in out.collect()}
+    want = drop_lines(rows)
+    assert {k: r._text.split("\n") if r._text or len(want[k]) else [] for k, r in got.items() if k[1] is not None} == want
+    assert all(r._n_lines == k[1].count("\n") + 1 and r._n_dropped == r._n_lines - len(want[k]) for k, r in got.items() if k[1] is not None)
+    text = {k[0]: r._text for k, r in got.items()}
+    assert text[None] == "menu home about contact" and text[-(1 << 63)] == ""  # the first of them stays
+    assert text[1] == "x y z w\nown line of one" and text[3] == "short" and text[2] == "own line of two two"
+    assert text[4] is None and got[4, None]._n_lines == 0 and text[5] == "" and got[5, ""]._n_lines == 1
+    assert text[20] and all(text[20 + i] == "" for i in (1, 2, 3)) and text[31] == "1 2 3 4\n  yes \nend 1"
+    assert out.count() == len(rows) and line_dedup(docs.limit(0)).count() == 0 and line_dedup(df).columns == ["doc_id", "text", "_n_lines", "_n_dropped"]
 
 
 def test_line_dedup_of_families_in_one_leaf(spark):
@@ -237,6 +358,14 @@ def test_line_dedup_of_families_in_one_leaf(spark):
     assert got == {i: int(i not in (0, 10, 15)) for i in range(19)}
 
 
+def test_line_dedup_of_random_lines(spark):
+    rnd = random.Random(8)
+    words = ["a", "b", "c", "dd", "e1", "ü"]
+    rows = [(i, "\n".join(" ".join(rnd.choices(words[: rnd.randint(1, 6)], k=rnd.randint(3, 8))) for _ in range(6))) for i in range(120)]
+    got = {(r._row.doc_id, r._row.text): r._text for r in line_dedup(spark.createDataFrame(rows, "doc_id long, text string"), carry=True).collect()}
+    want = {k: "\n".join(v) for k, v in drop_lines(rows).items()}
+    assert got == want and sum(map(len, want.values())) < 0.8 * sum(len(t) for _, t in rows)
+
 
 def test_codecs_equal_the_library():
     from tokenizers import Tokenizer
@@ -296,14 +425,54 @@ def test_packing_with_a_small_cache_gives_the_same_pieces(docs):
     assert few == many
 
 
-def test_languages_do_not_depend_on_blocks(docs):
-    known = docs.withColumn("lang", F.when(F.col("doc_id") % 2 == 0, "aa").otherwise("bb"))
-    model = langid.fit_languages(known)
-    rows = [r.text for r in docs.select("text").collect()]
-    whole = langid.mixtures(rows, model)
-    single = [langid.mixtures([t], model)[0] for t in rows]
-    assert [[n for n, _ in m] for m in whole] == [[n for n, _ in m] for m in single]
-    assert all(abs(x - y) < 1e-9 for m, k in zip(whole, single) for (_, x), (_, y) in zip(m, k))
+def mixture(text, logs, rounds=12, penalty=3.0, floor=0.01):
+    """The mixture of one text by plain loops: (languages with shares, score)."""
+    counts = defaultdict(int)
+    for g in langid.trigrams(text).tolist():
+        counts[g] += 1
+    every, total = range(len(logs[0])), sum(counts.values())
+
+    def fit(share):
+        return sum(n * math.log(sum(s * math.exp(logs[g][c]) for c, s in share.items())) for g, n in counts.items())
+
+    def em(share, rounds):
+        for _ in range(rounds):
+            new = dict.fromkeys(share, 0.0)
+            for g, n in counts.items():
+                parts = {c: s * math.exp(logs[g][c]) for c, s in share.items()}
+                for c, x in parts.items():
+                    new[c] += n * x / sum(parts.values()) / total
+            share = new
+        return share
+
+    whole = em(dict.fromkeys(every, 1 / len(every)), rounds)
+    rank = sorted(every, key=lambda c: (-whole[c], c))
+    alone = max(every, key=lambda c: (fit({c: 1.0}), -c))
+    best, value = {alone: 1.0}, fit({alone: 1.0})
+    for m in range(2, sum(s >= floor for s in whole.values()) + 1):
+        own = em({c: whole[c] / sum(whole[x] for x in rank[:m]) for c in rank[:m]}, 4)
+        worth = fit(own) - penalty * (m - 1) * math.log(total + 1)
+        if worth > value:
+            best, value = own, worth
+    first = min(best, key=lambda c: (-best[c], c))
+    return best, whole[first]
+
+
+def test_mixtures_equal_brute_force_in_any_block():
+    rnd = random.Random(9)
+    say = {f"l{k}": ["".join(rnd.choices("abcdefghijklmnopqrstuvwxyzäöé", k=rnd.randint(2, 8))) for _ in range(60)] for k in range(8)}
+    logs = np.zeros((langid.BUCKETS, 8))
+    for k, own in enumerate(say.values()):
+        np.add.at(logs[:, k], langid.trigrams(" ".join(rnd.choices(own, k=3000))), 1)
+    model = langid.LanguageModel(list(say), np.log((logs + 0.05) / (logs.sum(axis=0) + 0.05 * langid.BUCKETS)))
+    texts = [" ".join(w for own in rnd.sample(list(say.values()), rnd.choice([1, 1, 2, 3, 8])) for w in rnd.choices(own, k=rnd.choice([2, 8, 40]))) for _ in range(60)]
+    texts.append(" ".join(w for own in say.values() for w in own))
+    whole = langid.mixtures(texts, model)
+    assert whole == [langid.mixtures([t], model)[0] for t in texts] == langid.mixtures(texts[::-1], model)[::-1]
+    for t, m in zip(texts, whole):
+        shares, score = mixture(t, model.logs)
+        assert dict(m.shares) == pytest.approx({f"l{c}": s for c, s in shares.items()}) and m.score == pytest.approx(score)
+    assert len(whole[-1].shares) == 8 and len({len(m.shares) for m in whole}) > 3  # no cap on languages
 
 
 def test_language_mixtures(spark, none):
@@ -314,12 +483,15 @@ def test_language_mixtures(spark, none):
     df = spark.createDataFrame(rows, "doc_id int, text string, lang string").withColumn("score", F.lit("clash")).withColumn("_body", F.lit(1))
     model = langid.fit_languages(df)
     assert model.names == ["de", "en", "fr"]
-    asked = [(1, mix("en", 30)), (2, mix("de", 30)), (3, mix("fr", 60) + " " + mix("en", 60)), (4, None), (5, ""), (6, "123 !?"), (7, mix("fr", 20000)), (8, "x"), (None, mix("en", 9))]
+    asked = [(1, mix("en", 30)), (2, mix("de", 30)), (3, mix("fr", 60) + " " + mix("en", 60)), (4, None), (5, ""), (6, "123 !? ½ ②"), (7, mix("fr", 20000)), (8, "x"), (None, mix("en", 9))]
     got = {r.doc_id: r for r in langid.identify(spark.createDataFrame(asked, "doc_id int, text string"), model).collect()}
     assert [got[k].lang_pred for k in (1, 2, 7, None)] == ["en", "de", "fr", "en"]
     assert set(got[3].languages) == {"fr", "en"} and sum(got[3].shares) == pytest.approx(1)
     assert all(got[k].lang_pred == "und" and got[k].score == 0 for k in (4, 5, 6)) and got[8].lang_pred in model.names
     assert all(0 <= r.score <= 1 for r in got.values())
+    assert got[1].fit > 0 and got[4].fit is None
+    twice = spark.createDataFrame([(1, "la le", "x"), (1, "la le", "y"), (1, "la le", "x")], "doc_id int, text string, lang string")
+    assert [(r.lang_pred, r.languages) for r in langid.identify(twice, langid.fit_languages(twice)).collect()] == [("x", ["x"])] * 3  # a tie: by name
     empty = langid.fit_languages(df.limit(0))
     assert empty.names == [] and [r.lang_pred for r in langid.identify(df, empty).limit(2).collect()] == ["und", "und"]
     assert hashlib.sha1(model.logs.tobytes()).digest() == hashlib.sha1(langid.fit_languages(df.repartition(7)).logs.tobytes()).digest()
