@@ -21,8 +21,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lakeloom.llm import words
+
 #: Cached chunks of a worker; beyond that the latest, and so mostly rare ones, go.
 CACHE = 500_000
+#: Pairs of tokens that a worker keeps judged, some 100 bytes each.
+PAIRS = 1_000_000
 
 
 def shrink(cache: dict, most: int = CACHE) -> None:
@@ -118,6 +122,7 @@ class TrieBPE:
             key = before[0] << 20 | last[0]
             ok = self.pairs.get(key)
             if ok is None:
+                shrink(self.pairs, PAIRS)
                 ok = self.pairs[key] = self.fits(before[0], last[0])
             if ok:
                 return last
@@ -239,18 +244,11 @@ def encode_decode(df: DataFrame, tokenizer: str, id_col: str = "doc_id", text_co
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = codec(tokenizer)
         for b in batches:
-            docs, bodies = b.column("doc").to_pylist(), b.column("body").to_pylist()
-            at = 0
-            while at < len(bodies):
-                end, size = at, 0
-                while end < len(bodies) and size < 4 << 20:
-                    size += len(bodies[end] or b"") + 64
-                    end += 1
-                done = list(own.run([x or b"" for x in bodies[at:end]]))
-                yield pa.RecordBatch.from_arrays([pa.array(docs[at:end], pa.int64()), pa.array([i for i, _ in done], pa.binary()), pa.array([t for _, t in done], pa.binary())], names=["doc", "ids", "decoded"])
-                at = end
-
-    out = df.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).cast("binary").alias("body")).mapInArrow(run, "doc long, ids binary, decoded binary")
+            for part in words.slices(b, "body", 4 << 20):
+                done = list(own.run([x or b"" for x in part.column("body").to_pylist()]))
+                yield pa.RecordBatch.from_arrays([part.column("doc"), pa.array([i for i, _ in done], pa.binary()), pa.array([t for _, t in done], pa.binary())], names=["doc", "ids", "decoded"])
+
+    out = df.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).cast("binary").alias("body")).mapInArrow(words.tidy(run), "doc long, ids binary, decoded binary")
     return out.select(F.col("doc").alias(id_col), "ids", F.col("decoded").cast("string").alias("decoded"))
 
 

@@ -18,6 +18,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lakeloom.llm import words
 from lakeloom.llm.bpe import CACHE, byte_codec
 
 #: (doc, start, ids, doc_tokens); ids are bytes, four for each
@@ -135,16 +136,10 @@ def pack_documents(df: DataFrame, tokenizer: str, size: int = 2048, end_id: int
 
         def windows() -> Iterator[list[Piece]]:
             for b in batches:
-                docs, bodies = b.column("doc").to_pylist(), b.column("body").to_pylist()
-                at = 0
-                while at < len(bodies):
-                    stop, held = at, 0
-                    while stop < len(bodies) and held < 4 << 20:
-                        held += len(bodies[stop] or b"") + 64
-                        stop += 1
-                    for doc, ids in zip(docs[at:stop], own.run([x or b"" for x in bodies[at:stop]], cache)):
+                for part in words.slices(b, "body"):
+                    bodies = [x or b"" for x in part.column("body").to_pylist()]
+                    for doc, ids in zip(part.column("doc").to_pylist(), own.run(bodies, cache)):
                         yield from packer.add(doc, ids + end)
-                    at = stop
             yield from packer.finish()
 
         for rows in _rows(windows(), TaskContext.get().partitionId() << 32):
@@ -152,6 +147,6 @@ def pack_documents(df: DataFrame, tokenizer: str, size: int = 2048, end_id: int
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), kinds)], names=["doc", "start", "length", "doc_tokens", "sequence_id", "offset", "ids"])
 
     out = df.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).cast("binary").alias("body")).mapInArrow(
-        run, "doc long, start long, length long, doc_tokens long, sequence_id long, offset long, ids binary"
+        words.tidy(run), "doc long, start long, length long, doc_tokens long, sequence_id long, offset long, ids binary"
     )
     return out.withColumnRenamed("doc", id_col)
