@@ -59,7 +59,7 @@ class Mixture:
     shares: list[tuple[str, float]] = field(default_factory=list)
     #: share of the first language in the mixture of all languages
     score: float = 0.0
-    #: mean log likelihood of a trigram in the chosen mixture, less that in uniform noise
+    #: log likelihood of the text in the chosen mixture, less that in uniform noise
     fit: float | None = None
 
 
@@ -174,7 +174,7 @@ def mixtures(texts: list[str], model: LanguageModel, rounds: int = 12, penalty:
         chosen[tried[better]] = own[better]
     for d, i in enumerate(docs):
         order = [c for c in np.argsort(-chosen[d], kind="stable") if chosen[d, c] > 0]
-        out[i] = Mixture([(names[c], float(min(1.0, chosen[d, c]))) for c in order], float(min(1.0, whole[d, order[0]])), float(fit[d] / total[d] + np.log(BUCKETS)))
+        out[i] = Mixture([(names[c], float(min(1.0, chosen[d, c]))) for c in order], float(min(1.0, whole[d, order[0]])), float(fit[d] + total[d] * np.log(BUCKETS)))
     return out
 
 
@@ -182,8 +182,8 @@ def identify(df: DataFrame, model: LanguageModel, id_col: str = "doc_id", text_c
     """id_col, the columns of ``keep``, lang_pred, score (0 to 1), fit, languages and shares.
 
     score: share of lang_pred in the mixture of all languages. fit: how much
-    likelier a trigram is in the chosen mixture than in uniform noise (mean of
-    logs); below 0 the text is in no learned language.
+    likelier the text is in the chosen mixture than in uniform noise (a
+    difference of logs); far below 0 it is in no learned language.
 
     Defined cases: a null text, or one without a letter, is ``und`` with score
     0, a null fit and no languages; so is any text if the model has none; of

@@ -30,8 +30,9 @@ def test_pipeline(spark, tmp_path):
 
     base = " ".join(f"word{i} the of and" for i in range(60))
     extra = "long clean text about a river and its many towns along the quiet banks of the south"
-    rows = [(1, base, "en"), (2, base, "en"), (3, base.replace("word7 ", "wordX "), "en"), (4, extra, "en"), (5, None, "en"), (6, "123", None), (7, "der die das und ist " * 9, "de")]
-    df = spark.createDataFrame([(i, t, lang, "s", len(t or ""), "x") for i, t, lang in rows], "doc_id long, text string, lang string, source string, n_chars long, row string")
+    noise = " ".join("qzxjvkw"[i % 7] * 3 + "xqjz"[i % 4] * 2 + "wvkq"[i % 3] * 2 for i in range(30))
+    rows = [(1, base, "en"), (2, base, "en"), (3, base.replace("word7 ", "wordX "), "en"), (4, extra, "de"), (5, None, "en"), (6, "123 ½", None), (7, "der die das und ist " * 400, "de"), (8, noise, None), (9, extra + " with some more of it to learn " + extra, "en"), (10, "und das ist die " * 8, None)]
+    df = spark.createDataFrame([(i, t, lang, "s", len(t or ""), "x", 1, "y") for i, t, lang in rows], "doc_id long, text string, lang string, source string, n_chars long, row string, _n_dropped int, lang_pred string")
     docs, kept = df, {}
     for n, (name, stage) in enumerate(corpus_pipeline.STAGES):
         out = stage(spark, docs, "")
@@ -40,7 +41,11 @@ def test_pipeline(spark, tmp_path):
         out.write.parquet(f"{tmp_path}/{n}")
         docs = spark.read.parquet(f"{tmp_path}/{n}")
         kept[n] = sorted(r.doc_id for r in docs.select("doc_id").distinct().collect())
-    assert kept[0] == [1, 2, 3, 4, 7] and {4, 7} <= set(kept[3]) and kept[2] == [1, 4, 7] and kept[4] == kept[3]
+        if n == 0:
+            assert {r.doc_id: r.lang for r in docs.collect()} == {1: "en", 2: "en", 3: "en", 4: "en", 7: "de", 9: "en", 10: "de"}
+    assert kept[0] == [1, 2, 3, 4, 7, 9, 10] and {4, 7} <= set(kept[3]) and kept[2] == [1, 4, 7, 9, 10] and kept[4] == kept[3]
+    german = corpus_pipeline.language(spark, df, "", languages=("de",))
+    assert sorted(r.doc_id for r in german.collect()) == [7, 10]
     none = df.limit(0)
     for name, stage in corpus_pipeline.STAGES:
         assert stage(spark, none, "").count() == 0, name
