@@ -85,3 +85,26 @@ def test_pairs_round_trip(spark, tmp_path):
     (tmp_path / "old").mkdir()
     (tmp_path / "old" / "part-00000").write_text("(u'1', u'2')\nno pair\n(u'4', u'8')\n")
     assert sorted(map(tuple, read_pairs(spark, f"{tmp_path}/old").collect())) == [("1", "2"), ("4", "8")]
+
+
+@pytest.mark.parametrize("how", ["cosine", "jaccard", "pearson", "adjusted_cosine"])
+def test_only_pairs_that_recur_become_rows(spark, monkeypatch, how):
+    """Pairs below the support are left out before rows are made of them, and no other pair is."""
+    rows = [(u, f"i{(u * 7 + k * k * (1 + u % 5)) % 90}", float((u * k) % 7 + 1)) for u in range(60) for k in range(2 + u % 25)]
+    x = R.interactions(spark.createDataFrame(rows, "u int, i string, r double"), "u", "i", "r")
+
+    def result():
+        return sorted((r.i, r.j, r.support, round(r.similarity, 9)) for r in R.similarity(x, how, 3).collect())
+
+    whole, most = result(), max(r.n for r in x.groupBy("user").count().toDF("u", "n").collect())
+    made = []
+    monkeypatch.setattr(R, "FEW", 0)
+    real = R._recurring
+    monkeypatch.setattr(R, "_recurring", lambda *a: made.append(real(*a)) or made[-1])
+    assert result() == whole and len(whole) > 20
+    monkeypatch.setattr(R, "CHUNK", 64)  # many buckets
+    monkeypatch.setattr(R, "BASKET", most // 3)  # blocks
+    assert result() == whole
+    marks, _, wide = made[0]
+    recurring = R.cooccur(x, 3).count()
+    assert recurring <= sum(bin(b).count("1") for b in marks) + 2 and sum(bin(b).count("1") for b in marks) <= 1.1 * recurring < 0.5 * R.cooccur(x).count()
