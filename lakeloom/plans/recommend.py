@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lakeloom.operators import recommend as R
-from lakeloom.session import table
+from lakeloom.session import cut, table
 
 SUPPORT, K, N, CAP = 3, 5, 10, 20
 
@@ -54,8 +54,12 @@ def cf_adjusted_cosine(spark, d):
     return _round(R.similarity(_x(spark, d), "adjusted_cosine", SUPPORT), "similarity", digits=7)
 
 
+def _near(x: DataFrame) -> DataFrame:
+    return R.neighbours(_round(R.similarity(x, "cosine", SUPPORT), "similarity"), K)
+
+
 def _nb(spark, d):
-    return R.neighbours(cf_cosine(spark, d), K)
+    return _near(_x(spark, d))
 
 
 def cf_cosine_topk(spark, d):
@@ -67,8 +71,8 @@ def cf_predict(spark, d):
 
 
 def cf_recommend(spark, d):
-    x = _x(spark, d)
-    return _round(R.recommend(x, _nb(spark, d), N), "prediction", digits=6)
+    with R.kept(_x(spark, d)) as x:  # the result is a few rows a user
+        return cut(_round(R.recommend(x, _near(x), N), "prediction", digits=6))
 
 
 def _split(x: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -77,16 +81,16 @@ def _split(x: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def cf_rmse(spark, d):
-    train, test = _split(_x(spark, d))
-    nb = R.neighbours(_round(R.similarity(train, "cosine", SUPPORT), "similarity"), K)
-    return _round(R.rmse(R.predict(train, nb), test), "rmse", digits=6)
+    with R.kept(_x(spark, d)) as x:
+        train, test = _split(x)
+        return cut(_round(R.rmse(R.predict(train, _near(train)), test), "rmse", digits=6))
 
 
 def cf_precision_recall(spark, d):
-    train, test = _split(_x(spark, d))
-    nb = R.neighbours(_round(R.similarity(train, "cosine", SUPPORT), "similarity"), K)
-    ranked = R.recommend(train, nb, N)
-    return _round(R.precision_recall(ranked, test, N), "precision", "recall")
+    with R.kept(_x(spark, d)) as x:
+        train, test = _split(x)
+        ranked = R.recommend(train, _near(train), N)
+        return cut(_round(R.precision_recall(ranked, test, N), "precision", "recall"))
 
 
 def cf_pairs(spark, d):
