@@ -117,3 +117,24 @@ def test_signature_vectors(docs):
     rows = D.signature_vectors(D.minhash(docs, 4, 2)).collect()
     by = {r.doc: r.features for r in rows}
     assert by[1].squared_distance(by[2]) == 0 and by[1].squared_distance(by[3]) >= 4
+
+
+def test_digests_and_signatures_of_many_texts(docs, spark, monkeypatch):
+    """Texts beyond the basic plane, of one word and of several slices of a task."""
+    texts = [(i, t) for i, t in TEXTS] + [(8, "é𝄞𐐷 ß𐐷𐐷é x𐐷𐐷é"), (9, "ab" * 4000), (10, "!?")]
+    df = spark.createDataFrame(texts, "doc_id int, text string")
+    plain = {r.doc_id: r.plain for r in df.select("doc_id", normalise("text").alias("plain")).collect() if r.plain}
+    want = {}
+    for i, t in plain.items():
+        own = {t[k : k + 5] for k in range(max(1, len(t) - 4))}
+        want[i] = (len(own), hashlib.md5("|".join(sorted(own, key=str.encode)).encode()).hexdigest())
+    assert {r.doc: (r.n, r.shingles) for r in D.shingle_digests(df, 5).collect()} == want and set(want) == {1, 2, 3, 6, 7, 8, 9}
+    sig = {r.doc: list(r.signature) for r in D.minhash(df, 3, 4, unit="char").collect()}
+    for i, t in plain.items():
+        numbers = [int(hashlib.md5(t[k : k + 4].encode()).hexdigest()[:8], 16) % (2**31 - 1) for k in range(max(1, len(t) - 3))]
+        assert sig[i] == [min((a * x + b) % (2**31 - 1) for x in numbers) for a, b in D.hash_parameters(3)]
+
+
+def test_shingles_are_made_without_lambdas_per_element(docs, capsys):
+    for df in (D.minhash(docs, 6, 2), D.shingle_digests(docs, 5)):
+        assert "lambda" not in df._jdf.queryExecution().optimizedPlan().toString()
