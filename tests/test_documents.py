@@ -138,3 +138,28 @@ def test_digests_and_signatures_of_many_texts(docs, spark, monkeypatch):
 def test_shingles_are_made_without_lambdas_per_element(docs, capsys):
     for df in (D.minhash(docs, 6, 2), D.shingle_digests(docs, 5)):
         assert "lambda" not in df._jdf.queryExecution().optimizedPlan().toString()
+
+
+@pytest.mark.parametrize("basket", [1024, 4])
+def test_candidates_are_given_once_and_bounds_lose_no_link(spark, monkeypatch, basket):
+    """Pairs of equal bands leave their tasks once, also in blocks; sketches drop most far pairs and no near one."""
+    rnd = random.Random(9)
+    common = [f"c{k}" for k in range(12)]
+    texts = [" ".join(rnd.choice(common) for _ in range(rnd.randint(4, 60))) for _ in range(60)]
+    texts += [t + " c1 c2" for t in texts[:20]] + texts[:10]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string")
+    sig = D.minhash(df, 12, 1, sketch=True)
+    monkeypatch.setattr(D.R, "BASKET", basket)
+    rows = [(r.doc, tuple(r.signature)) for r in sig.collect()]
+    least = {s: min(d for d, t in rows if t == s) for _, s in rows}
+    same = [(d, s) for s, d in least.items()]
+    want = {(least[s], d) for d, s in rows if d != least[s]} | {(a, b) for a, s in same for b, t in same if a < b and any(s[k : k + 2] == t[k : k + 2] for k in range(0, 12, 2))}
+    plan = D.matches(sig, 6, 2)
+    got = [(r.a, r.b) for r in plan.collect()]
+    assert sorted(got) == sorted(want)
+    agree = dict(rows)
+    assert all(r.same == sum(x == y for x, y in zip(agree[r.a], agree[r.b])) for r in plan.collect())
+    sets = {i: set(words(t)) for i, t in enumerate(texts)}
+    near = {(a, b) for a, b in want if len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])}
+    few = {(r.a, r.b) for r in D.candidates(sig, 6, 2, 0.8).collect()}
+    assert near <= few <= want and len(few - near) < 0.2 * len(want - near)
