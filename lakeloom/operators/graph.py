@@ -42,6 +42,10 @@ def dangling(e: DataFrame) -> DataFrame:
     return nodes(e).join(e.select(F.col("src").alias("node")).distinct(), "node", "left_anti")
 
 
+#: Steps of the restart vector that are kept apart.
+SHALLOW = 3
+
+
 def pagerank(e: DataFrame, d: float = 0.85, iters: int = 20, tol: float | None = None, mode: str = "normalised", restart: DataFrame | None = None, hub: int = 1024) -> DataFrame:
     """node, rank after ``iters`` rounds, or earlier once the L1 change is at most ``tol``.
 
@@ -55,11 +59,27 @@ def pagerank(e: DataFrame, d: float = 0.85, iters: int = 20, tol: float | None =
     edges. Nodes with over 1 / ``hub`` of all edges are fewer than ``hub``:
     their edges stay where they are and meet their ranks by broadcast. Each
     round ends with a checkpoint of the ranks, so the plan does not grow.
+
+    A round is linear: ranks are sums of the restart vector and of what it
+    passes on in one step, two steps and so on. The first ``SHALLOW`` steps are
+    kept apart. Where no path is longer, all rounds follow from them exactly,
+    with numbers alone; otherwise rounds go on from the ranks that they give.
     """
     if mode not in ("normalised", "unnormalised"):
         raise ValueError(mode)
     spark = e.sparkSession
     parts = n_partitions(spark)
+    own = e.storageLevel == StorageLevel.NONE
+    if own:
+        e.persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        return _pagerank(e, parts, d, iters, tol, mode, restart, hub)
+    finally:
+        if own:
+            e.unpersist()
+
+
+def _pagerank(e: DataFrame, parts: int, d: float, iters: int, tol: float | None, mode: str, restart: DataFrame | None, hub: int) -> DataFrame:
     out = e.groupBy("src").agg(F.sum("weight").alias("total"), F.count(F.lit(1)).alias("links"))
     base = nodes(e).join(out.select(F.col("src").alias("node"), "total", "links"), "node", "left")
     if restart is not None:
@@ -84,18 +104,49 @@ def pagerank(e: DataFrame, d: float = 0.85, iters: int = 20, tol: float | None =
         rows = rows.join(wide.select("node"), "node", "left_anti")
     dealt = rows.repartition(parts, "node").join(base.select("node", "total"), "node").select("node", "dst", (F.col("weight") / F.col("total")).alias("share")).persist(StorageLevel.MEMORY_AND_DISK)
     scaled = mode == "normalised"
-    rank = base.select("node", (F.col("jump") if scaled else F.lit(1.0)).alias("rank"), "loose", "links")
-    for _ in range(iters):
-        flow = rank.join(dealt, "node").select("dst", (F.col("rank") * F.col("share")).alias("flow"))
+
+    def passed(rank: DataFrame) -> DataFrame:
+        """node, flow: what the column ``rank`` passes on over the edges."""
+        flow = rank.select("node", "rank").join(dealt, "node").select("dst", (F.col("rank") * F.col("share")).alias("flow"))
         if of_hubs is not None:
             wide = F.broadcast(rank.where(F.col("links") > max(1, many)).select("node", "rank"))
             flow = flow.union(of_hubs.join(wide, "node").select("dst", (F.col("rank") * F.col("share")).alias("flow")))
-        flow = flow.groupBy(F.col("dst").alias("node")).agg(F.sum("flow").alias("flow"))
-        new = base.join(flow, "node", "left")
+        return flow.groupBy(F.col("dst").alias("node")).agg(F.sum("flow").alias("flow"))
+
+    steps = base.select("node", (F.col("jump") if scaled else F.lit(1.0)).alias("s0"), "loose", "links")
+    lost: list[float] = []
+    done = 0  # steps beyond the restart vector
+    while True:
+        held = F.col(f"s{done}")
+        at_loose, elsewhere = steps.agg(F.sum(F.when(F.col("loose"), held)), F.max(F.when(~F.col("loose"), F.abs(held)))).first()
+        lost.append(at_loose or 0.0)
+        ends = not elsewhere  # what is nowhere but at dangling nodes is passed on no more
+        if ends or done == min(SHALLOW, iters):
+            break
+        more = passed(steps.select("node", held.alias("rank"), "links").where("rank <> 0"))
+        done += 1
+        steps = cut(steps.join(more, "node", "left").withColumn(f"s{done}", d * F.coalesce("flow", F.lit(0.0))).drop("flow"))
+    # the share of each step in the ranks after each round
+    shares = [[1.0]]
+    for _ in range(iters if ends else done):
+        back = (1 - d) + (d * sum(c * x for c, x in zip(shares[-1], lost)) if scaled else 0.0)
+        shares.append([back, *shares[-1]][: done + 1])
+
+    def mixed(by: list[float]):
+        return sum((c * F.col(f"s{i}") for i, c in enumerate(by)), F.lit(0.0))
+
+    last, settled = len(shares) - 1, False
+    if tol is not None and last:
+        changes = steps.agg(*[F.sum(F.abs(mixed([x - y for x, y in zip(new, [*old, 0.0])]))).alias(f"r{k}") for k, (old, new) in enumerate(zip(shares, shares[1:]), 1)]).first()
+        stop = next((k for k, change in enumerate(changes, 1) if change <= tol), None)
+        last, settled = stop or last, stop is not None
+    rank = cut(steps.select("node", mixed(shares[last]).alias("rank"), "loose", "links"))
+    for _ in range(0 if settled else iters - last):
+        new = base.join(passed(rank), "node", "left")
         flowed = F.coalesce("flow", F.lit(0.0))
         if scaled:
-            lost = rank.agg(F.sum(F.when(F.col("loose"), F.col("rank")).otherwise(0.0)).alias("lost"))
-            new = new.crossJoin(F.broadcast(lost))  # one row
+            lost_now = rank.agg(F.sum(F.when(F.col("loose"), F.col("rank")).otherwise(0.0)).alias("lost"))
+            new = new.crossJoin(F.broadcast(lost_now))  # one row
             value = (1 - d) * F.col("jump") + d * (flowed + F.col("lost") * F.col("jump"))
         else:
             value = (1 - d) + d * flowed
@@ -107,6 +158,5 @@ def pagerank(e: DataFrame, d: float = 0.85, iters: int = 20, tol: float | None =
         if change is not None and change <= tol:
             break
     dealt.unpersist()
-    if iters > 0:
-        base.unpersist()
+    base.unpersist()
     return rank.select("node", "rank")

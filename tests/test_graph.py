@@ -70,3 +70,18 @@ def test_components(spark, few):
     assert got == {**{i: 1 for i in range(1, 41)}, 100: 100, 101: 100, 102: 100, 200: 200}
     names = connected_components(spark.createDataFrame([("b", "é"), ("é", "z"), ("x", "y")], "a string, b string"), few=few)
     assert {r.node: r.component for r in names.collect()} == {"b": "b", "é": "b", "z": "b", "x": "x", "y": "x"}
+
+
+@pytest.mark.parametrize("tol", [None, 3e-3])
+def test_rounds_without_long_paths_need_few_checkpoints(spark, monkeypatch, tol):
+    """Where no path is long, rounds follow from the first steps and edges are not walked again."""
+    links = [(f"c{i}", f"s{i * j % 5}", 1.0) for i in range(9) for j in range(1, 4)] + [(f"s{i}", f"p{i * j % 7}", 1.0) for i in range(5) for j in range(1, 5)]
+    own = G.edges(spark.createDataFrame(links, "src string, dst string, weight double"))
+    made, real = [], G.cut
+    monkeypatch.setattr(G, "cut", lambda df: made.append(1) or real(df))
+    got = {r.node: r["rank"] for r in G.pagerank(own, iters=7, tol=tol).collect()}
+    plain = brute([(r.src, r.dst, r.weight) for r in own.collect()], rounds=7)
+    assert got == pytest.approx(plain, abs=3e-2 if tol else 1e-12) and len(made) <= 5
+    monkeypatch.setattr(G, "SHALLOW", 0)
+    again = {r.node: r["rank"] for r in G.pagerank(own, iters=7, tol=tol).collect()}
+    assert again == pytest.approx(got, abs=1e-12) and len(made) > 8
