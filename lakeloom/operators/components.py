@@ -35,6 +35,35 @@ def _join(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     yield pd.DataFrame({"u": [x for x, _ in done], "v": [y for _, y in done]})
 
 
+#: Nodes that a task knows at a time, about, when it joins its own links.
+KNOWN = 1 << 19
+
+
+def _contract(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Links (u, v) of a part as links that tie the same nodes, at most one a node; a new set is begun at KNOWN nodes."""
+    root: dict = {}
+
+    def find(x):
+        while root[x] != x:
+            root[x] = x = root[root[x]]
+        return x
+
+    def forest() -> pd.DataFrame:
+        return pd.DataFrame({"u": list(root), "v": [find(x) for x in root]})
+
+    for own in batches:
+        own = own.drop_duplicates()
+        for x, y in zip(own["u"].tolist(), own["v"].tolist()):
+            x, y = find(root.setdefault(x, x) if x not in root else x), find(root.setdefault(y, y) if y not in root else y)
+            if x != y:
+                root[x] = y
+        if len(root) > KNOWN:
+            yield forest()
+            root.clear()
+    if root:
+        yield forest()
+
+
 def connected_components(links: DataFrame, a: str = "a", b: str = "b", max_rounds: int = 60, few: int = 200_000) -> DataFrame:
     """node, component (least node of its component) for the nodes of ``links``.
 
@@ -42,11 +71,13 @@ def connected_components(links: DataFrame, a: str = "a", b: str = "b", max_round
     round is two aggregations and two joins by node, so no component is ever
     gathered in one task; a hub's rows are split by skew-join handling. Each
     round's lineage is cut with a checkpoint. Links with a null end are
-    dropped; a self-link makes its node a component. Once there are no more
+    dropped; a self-link makes its node a component. Each part of the links is
+    first replaced by as few that tie the same nodes. Once there are no more
     than ``few`` edges, one task joins the rest: its size is known, and small
     graphs need no rounds.
     """
     ends = links.select(F.col(a).alias("u"), F.col(b).alias("v")).where(F.col("u").isNotNull() & F.col("v").isNotNull())
+    ends = cut(ends.mapInPandas(_contract, ends.schema))
     nodes = ends.select(F.col("u").alias("node")).union(ends.select(F.col("v").alias("node"))).distinct()
     edges = cut(ends.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
     before = None

@@ -66,7 +66,7 @@ def graph_pagerank_converged(spark, d):
 
 
 def graph_components(spark, d):
-    return connected_components(_edges(spark, d), "src", "dst")
+    return connected_components(_raw(spark, d), "src", "dst")  # weights do not matter
 
 
 _E = """

@@ -85,3 +85,15 @@ def test_rounds_without_long_paths_need_few_checkpoints(spark, monkeypatch, tol)
     monkeypatch.setattr(G, "SHALLOW", 0)
     again = {r.node: r["rank"] for r in G.pagerank(own, iters=7, tol=tol).collect()}
     assert again == pytest.approx(got, abs=1e-12) and len(made) > 8
+
+
+def test_links_of_a_part_are_contracted_first():
+    import pandas as pd
+
+    from lakeloom.operators import components as C
+
+    links = pd.DataFrame([(i % 50, (i * 7) % 50) for i in range(2000)] + [(99, 99)], columns=["u", "v"])
+    got = pd.concat(C._contract(iter([links[:900], links[900:]])))
+    assert len(got) == 51 and set(got["u"]) == {*range(50), 99}
+    whole, few = (pd.concat(C._join(iter([x]))).set_index("u")["v"].to_dict() for x in (links, got))
+    assert whole == few
